@@ -7,8 +7,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from readloom.llm import decontam, minhash, shared, tokens
+from readloom.llm import decontam, lm, minhash, mixing, pii, quality, secrets, shared, tokens, toxicity, urls
 
 #: Path of the byte-level BPE file; a parameter of the token operators.
 TOKENIZER_FILE = os.environ.get("READLOOM_TOKENIZER")
@@ -32,6 +33,51 @@ def op1_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, domain: the quality that `labels` gives."""
+    return table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", F.col("quality").cast("string").alias("domain"))
+
+
+def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixture, members = mixing.fit(table(spark, sf_dir, "documents"), quality_labels(spark, sf_dir), mixing.TARGETS)
+    return mixing.rates(members, mixture)
+
+
+def op3_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.findings(docs, secrets.scan(docs)))
+
+
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages"), labels).drop("bad_rate", "bound")
+
+
+def toxicity_index(docs: DataFrame, labels: DataFrame) -> toxicity.Index:
+    """Fitted on labels outside the held-out fold."""
+    return toxicity.fit(docs, labels.filter(shared.crc_mod(F.col("doc_id"), 5) != 0))
+
+
+def op5_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_index(docs, table(spark, sf_dir, "labels")), evidence=False)
+    return scored.select("doc_id", (shared.crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.fit(docs.filter(~lm.held_out()))
+    return lm.score(docs, model).select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op8_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("n_near")
 
@@ -71,5 +117,60 @@ SELECT d.id AS doc_id, cast(len(d.ws) AS BIGINT) AS n_words, cast(coalesce(n_hit
 FROM w d LEFT JOIN hits USING (id) LEFT JOIN items USING (id) WHERE d.src = 'd'
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bag_minhash": op1_bag_minhash, "op9_positional_index": op9_positional_index, "op10_token_store": op10_token_store}
-ORACLES: dict[str, str] = {"op1_bag_minhash": OP1_SQL, "op9_positional_index": OP9_SQL}
+def _op3_sql() -> str:
+    """The base and vendor rules again: pieces between matches give the places."""
+    parts = []
+    for k, rule in enumerate(secrets.RULES):
+        p = rule.pattern.replace("'", "''")
+        least = f"length(regexp_extract(m[i], '{p}', {rule.group})) >= {rule.least}" if rule.least else "true"
+        parts.append(f"""SELECT id, {k} AS o, '{rule.kind}' AS kind, pos AS s, pos + length(m[i]) AS e FROM (SELECT *, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos
+          FROM (SELECT id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT id, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d))) WHERE {least}""")
+    each = " UNION ALL ".join(parts)
+    return f"""WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), f AS ({each}),
+      a AS (SELECT id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+        string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS spans FROM f GROUP BY id)
+      SELECT d.id AS doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (id)"""
+
+
+OP4_SQL = r"""
+WITH lab AS (SELECT doc_id AS page_id, max(greatest(1 - quality, toxic)) AS bad FROM labels GROUP BY 1),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+l AS (SELECT *, split_part(host, '.', -1) AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain FROM p),
+h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad FROM l JOIN lab USING (page_id) WHERE bad IS NOT NULL GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
+g AS (SELECT coalesce((sum(bad) + 0.5) / (sum(n) + 1), 0)::DOUBLE AS mu FROM s),
+lv AS (SELECT 's' AS lv, n, bad FROM s UNION ALL SELECT 'd', n, bad FROM d UNION ALL SELECT 'h', n, bad FROM h),
+m AS (SELECT lv, any_value(mu) AS mu, sum(n) AS n, sum(n * n) AS n2, count(*) AS k, sum(n * (bad / n - mu) ** 2) AS q FROM lv, g GROUP BY lv),
+b AS (SELECT lv, mu, k, n, CASE WHEN n - n2 / n > 0 THEN (q - (k - 1) * mu * (1 - mu)) / (n - n2 / n) ELSE 0 END AS b FROM m),
+w AS (SELECT lv, CASE WHEN k < 2 OR mu <= 0 OR mu >= 1 OR b <= 0 THEN 200.0::DOUBLE ELSE least(200.0::DOUBLE, greatest(2.0::DOUBLE, mu * (1 - mu) / b - 1)) END AS w FROM b),
+ww AS (SELECT coalesce(max(w) FILTER (lv = 's'), 200) AS ws, coalesce(max(w) FILTER (lv = 'd'), 200) AS wd, coalesce(max(w) FILTER (lv = 'h'), 200) AS wh FROM w),
+x AS (SELECT l.page_id, l.host, l.path, wh + coalesce(h.n, 0) AS m,
+  (coalesce(h.bad, 0) + wh * ((coalesce(d.bad, 0) + wd * ((coalesce(s.bad, 0) + ws * mu) / (coalesce(s.n, 0) + ws))) / (coalesce(d.n, 0) + wd))) / (coalesce(h.n, 0) + wh) AS r
+  FROM l CROSS JOIN g CROSS JOIN ww LEFT JOIN h ON h.host = l.host LEFT JOIN d ON d.domain = l.domain LEFT JOIN s ON s.suffix = l.suffix),
+y AS (SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM x)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN r - 1.64 * sqrt(r * (1 - r) / (m + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM y
+"""
+
+
+def _op7_sql() -> str:
+    phrase = " OR ".join(f"contains(lower(x), '{p}')" for p in quality.BOILERPLATE)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE n > 1) GROUP BY doc_id),
+o AS (SELECT doc_id, sum(length(x)) AS kept_chars FROM (SELECT doc_id, unnest(list_distinct(ls)) AS x FROM w) WHERE NOT (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) > 0.2::DOUBLE * length(x) OR length(x) - length(replace(x, '|', '')) >= 4 OR {phrase}) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(list_sum(list_transform(ls, lambda x: length(x))), 0) AS line_chars, coalesce(kept_chars, 0) AS kept_chars
+  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN o USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND line_chars - kept_chars <= 0.6::DOUBLE * line_chars AS kept FROM m
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bag_minhash, op2_soft_mixing, op3_blob_ledger, op4_host_reputation, op5_nearest_examples, op6_suffix_tree, op7_line_rules, op8_feistel, op9_positional_index, op10_token_store)}
+ORACLES: dict[str, str] = {"op1_bag_minhash": OP1_SQL, "op3_blob_ledger": _op3_sql(), "op4_host_reputation": OP4_SQL, "op7_line_rules": _op7_sql(), "op9_positional_index": OP9_SQL}
