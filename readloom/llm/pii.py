@@ -204,10 +204,11 @@ def pseudonym(value: Column, key: str) -> Column:
 
 
 def find(docs: DataFrame, key: str = DEMO_KEY, column: str = "text") -> DataFrame:
-    """`docs` with `pii` (array<struct<kind, start, end, new>>, valid values only) and `new_text`.
+    """`docs`, without columns of these names, with `pii` (array<struct<kind, start, end, new>>, valid values only) and `new_text`.
 
     start and end are code points of the original, the end exclusive.
     """
+    docs = docs.drop("pii", "new_text")
     text = F.col(column)
     hits = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
@@ -232,7 +233,8 @@ def find(docs: DataFrame, key: str = DEMO_KEY, column: str = "text") -> DataFram
 
 def pseudonymise(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
     """`docs` with the values in `text` replaced."""
-    return find(docs, key).select(*[F.col("new_text").alias("text") if c == "text" else c for c in docs.columns])
+    done = find(docs.select(F.struct(*docs.columns).alias("__row"), "text"), key)
+    return done.select(*[F.col("new_text").alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -85,12 +85,16 @@ def line_fails(line: Column) -> Column:
     return (symbols > MAX_LINE_SYMBOLS * F.length(line)) | nav | phrase
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "removed_chars", "clean_text")
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """`docs` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines removed and text kept.
+    """`docs`, without columns of these names, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines removed and text kept.
 
     Adds also line_chars and removed_chars (characters of lines with words, and of those that failed or repeat)
     and clean_text.
     """
+    docs = docs.drop(*MEASURES)
     text = shared.text_of()
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
@@ -118,8 +122,8 @@ def kept() -> Column:
 
 def clean(docs: DataFrame) -> DataFrame:
     """Rows of `docs` that pass, each with its remaining lines as text."""
-    measured = measure(docs).filter(kept())
-    return measured.select(*[F.col("clean_text").alias("text") if c == "text" else c for c in docs.columns])
+    measured = measure(docs.select(F.struct(*docs.columns).alias("__row"), "text")).filter(kept())
+    return measured.select(*[F.col("clean_text").alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def digest(measured: DataFrame) -> DataFrame:

@@ -84,12 +84,12 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
 
 
 def findings(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`history` with blob_id and results: what the ledger holds for its text under `rules`, rules without spans left out."""
+    """`history`, without columns of these names, with blob_id and results: what the ledger holds for its text under `rules`, rules without spans left out."""
     current = F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules])
     with_spans = lambda x: (F.size(x["spans"]) > 0) & F.array_contains(current, F.concat_ws("@", x["kind"], x["version"].cast("string")))
     found = ledger.select("blob_id", F.filter("results", with_spans).alias("results")).filter(F.size("results") > 0)
     found = found.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_list("results"))).alias("results"))
-    named = history.withColumn("blob_id", blob_id())
+    named = history.drop("blob_id", "results").withColumn("blob_id", blob_id())
     return named.join(found, "blob_id", "left").withColumn("results", F.coalesce("results", F.array().cast(RESULTS)))
 
 

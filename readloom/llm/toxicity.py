@@ -252,8 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index
 EVIDENCE = "array<struct<example:string,toxic:int,similarity:float>>"
 
 
-def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), evidence: bool = True) -> DataFrame:
-    """Columns `keep` of every row of `docs` (text), its score in [0, 1] and its nearest examples."""
+def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), evidence: bool = True, names: tuple[str, str] = ("score", "evidence")) -> DataFrame:
+    """Columns `keep` of every row of `docs` (text), its score in [0, 1] and its nearest examples, called `names`."""
     spark = docs.sparkSession
     shared.small_batches(spark)
     sent = spark.sparkContext.broadcast(index)  # bounded by the sample
@@ -272,9 +272,9 @@ def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), ev
                     at, similarity = index.nearest(term[own], index.weights(term[own], count[own]), NEIGHBOURS) if bounds[i] < bounds[i + 1] and index.local else (np.zeros(0, np.int64), np.zeros(0))
                     scores.append(index.score(index.vote(at, similarity)))
                     shown.append([{"example": index.ids[x], "toxic": int(index.label[x]), "similarity": float(s)} for x, s in zip(at, similarity, strict=True)] if evidence else [])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores, pa.float64()), pa.array(shown, evidence_type)], [*keep, "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores, pa.float64()), pa.array(shown, evidence_type)], [*keep, *names])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     taken = docs.select(*dict.fromkeys((*keep, "text")))
-    out = taken.mapInArrow(run, f"{fields}, score double, evidence {EVIDENCE}")
-    return out if evidence else out.drop("evidence")
+    out = taken.mapInArrow(run, f"{fields}, {names[0]} double, {names[1]} {EVIDENCE}")
+    return out if evidence else out.drop(names[1])
