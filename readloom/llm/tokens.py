@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,23 +29,69 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readloom.llm import shared
-from readloom.llm.words import mix
+from readloom.llm.words import mix, runs
 
 END_ID = 2
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 256, 10, 8192
-CACHE_PIECES = 400_000
+CACHE_PIECES = 2_000_000
 #: Documents in one block of the Merkle tree.
 BLOCK = 1024
-#: Texts with other white space than single blanks and line ends, or with the special token, are encoded whole.
-_WHOLE = re.compile(r"[^\S \n\t\r]|\s\s|<\|")
-_PIECE = re.compile(r"\s?\S+|\s")
+# White space, letters and numbers of the first 256 code points, as the tokenizer's own pattern classes them.
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[*range(9, 14), 0x20, 0x85, 0xA0]] = _SPACE
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]] = _LETTER
+_CLASS[[*range(0x30, 0x3A), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _NUMBER
+_MULTIPLIER = 0x9E3779B97F4A7C15
+SLICE_CHARS = 2_000_000
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the pieces that the tokenizer's pattern cuts texts of code points below 256 into, without apostrophes.
+
+    A run of letters, numbers or other signs is a piece, with a blank before it if there is one. White space before
+    that is one piece, or two where its last character is no blank: that one stands alone. At a text's end it is one.
+    """
+    n = len(data)
+    kind = _CLASS[data]
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    fresh = edge[:-1].copy()
+    fresh[1:] |= kind[1:] != kind[:-1]
+    begins = fresh.copy()
+    visible = np.flatnonzero(fresh & (kind != _SPACE))
+    visible = visible[~edge[visible]]  # what has something before it in its text
+    before = data[visible - 1]
+    blank = before == 0x20
+    begins[visible[blank]] = False
+    begins[visible[blank] - 1] = True
+    begins[visible[~blank & (kind[visible - 1] == _SPACE)] - 1] = True
+    return np.flatnonzero(begins)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each piece."""
+    h = size.astype(np.uint64) * np.uint64(_MULTIPLIER)
+    g = ~h
+    wide = data.astype(np.uint64) + np.uint64(0x100)
+    live, k = np.arange(len(start)), 0
+    while len(live):
+        c = wide[start[live] + k]
+        h[live] = (h[live] ^ c) * np.uint64(0xD6E8FEB86659FD93)
+        h[live] ^= h[live] >> np.uint64(32)
+        g[live] = (g[live] + c) * np.uint64(0xBF58476D1CE4E5B9)
+        g[live] ^= g[live] >> np.uint64(29)
+        k += 1
+        live = live[size[live] > k]
+    return mix(h), mix(g)
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Byte-level BPE cuts a text before each blank that stands between visible characters, whatever
-    else the text holds; so such pieces are encoded by the library once and remembered.
+    Byte-level BPE merges only inside the pieces that its pattern cuts a text into. So each distinct piece, told by
+    128 bits of hash, is encoded by the library once and remembered as a place in a pool of ids. Texts for which the
+    pattern is not written out here are encoded whole: those with code points over 255, apostrophes or `<|`.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -56,26 +101,115 @@ class Encoder:
         self.width = np.dtype("<u2" if self.lib.get_vocab_size() < 1 << 16 else "<u4")
         kinds = str(getattr(self.lib.pre_tokenizer, "__getstate__", lambda: b"")())
         self.by_piece = "ByteLevel" in kinds and "add_prefix_space\":false" in kinds and self.lib.normalizer is None
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.place, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, self.width)
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.width).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not self.by_piece or _WHOLE.search(text):
-            return self._bytes([text])[0]
-        pieces = _PIECE.findall(text)
-        known = self.known
-        got = list(map(known.get, pieces))
-        if None in got:
-            fresh = list({p for p, g in zip(pieces, got, strict=True) if g is None})
-            if len(known) + len(fresh) > CACHE_PIECES:
-                # every other piece goes; what is common comes back at once
-                self.known = known = dict(list(known.items())[::2]) if len(fresh) < CACHE_PIECES // 2 else {}
-            made = dict(zip(fresh, self._bytes(fresh), strict=True))
-            known.update(made)
-            got = [made[p] if g is None else g for p, g in zip(pieces, got, strict=True)]
-        return b"".join(got)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, as little-endian bytes."""
+        out: list[bytes] = [b""] * len(texts)
+        fast: list[tuple[int, bytes]] = []
+        slow: list[int] = []
+        for i, text in enumerate(texts):
+            if self.by_piece and "'" not in text and "<|" not in text:
+                try:
+                    fast.append((i, text.encode("latin-1")))
+                    continue
+                except UnicodeEncodeError:
+                    pass
+            slow.append(i)
+        for i, ids in zip(slow, self.whole([texts[i] for i in slow]), strict=True):
+            out[i] = ids
+        at = 0
+        while at < len(fast):
+            end, chars = at + 1, len(fast[at][1])
+            while end < len(fast) and chars + len(fast[end][1]) <= SLICE_CHARS:
+                chars += len(fast[end][1])
+                end += 1
+            for (i, _), ids in zip(fast[at:end], self._encode([raw for _, raw in fast[at:end]]), strict=True):
+                out[i] = ids
+            at = end
+        return out
+
+    def _encode(self, raws: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64)
+        start = pieces(data, offsets)
+        size = np.diff(np.append(start, len(data)))
+        key, check = hashes(data, start, size)
+        order = np.argsort(key)
+        first, times = runs(key[order])
+        one = order[first]
+        at = self._places(data, start[one], size[one], key[one], check[one])
+        which = np.empty(len(key), np.int64)
+        which[order] = np.repeat(at, times)
+        count = self.count[which]
+        ends = np.cumsum(count)
+        ids = self.pool[np.repeat(self.place[which] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.searchsorted(start, offsets)] * self.width.itemsize
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def _places(self, data, start, size, key, check) -> np.ndarray:
+        """Where the distinct pieces, in order of key, are remembered; new ones are learnt."""
+        at = np.searchsorted(self.key, key)
+        known = self.key[np.minimum(at, len(self.key) - 1)] == key if len(self.key) else np.zeros(len(key), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            if len(self.key) > CACHE_PIECES:  # what came first is common
+                keep = self.place < np.partition(self.place, CACHE_PIECES // 2)[CACHE_PIECES // 2]
+                self.key, self.check, self.place, self.count = (x[keep] for x in (self.key, self.check, self.place, self.count))
+                self.pool = self.pool[: int((self.place + self.count).max(initial=0))]
+                return self._places(data, start, size, key, check)
+            texts = [data[a : a + n].tobytes().decode("latin-1") for a, n in zip(start[new].tolist(), size[new].tolist(), strict=True)]
+            ids, place, counts = self._learn(texts)
+            place += len(self.pool)
+            self.pool = np.concatenate([self.pool, ids])
+            self.key, self.check = np.insert(self.key, at[new], key[new]), np.insert(self.check, at[new], check[new])
+            self.place, self.count = np.insert(self.place, at[new], place), np.insert(self.count, at[new], counts)
+            at = np.searchsorted(self.key, key)
+        if (self.check[at] != check).any():
+            raise ValueError("two pieces share a hash")
+        return at
+
+    def _learn(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, places, counts) of pieces; those of a blank and letters are encoded as one text, which the pattern cuts into them again."""
+        joins = np.array([p[0] == " " and p[-1].isalpha() for p in texts], bool)
+        row, rest = np.flatnonzero(joins), np.flatnonzero(~joins)
+        counts = np.zeros(len(texts), np.int64)
+        ids = []
+        if len(row):
+            made = self.lib.encode("".join([texts[i] for i in row.tolist()]), add_special_tokens=False)
+            word = np.array(made.word_ids)
+            if len(row) != word[-1] + 1:
+                raise ValueError("pieces and words of the tokenizer differ")
+            counts[row] = np.bincount(word)
+            ids += made.ids
+        for i, e in zip(rest.tolist(), self.lib.encode_batch_fast([texts[i] for i in rest.tolist()], add_special_tokens=False), strict=True):
+            counts[i] = len(e.ids)
+            ids += e.ids
+        places = np.zeros(len(texts), np.int64)
+        order = np.concatenate([row, rest])
+        places[order] = np.cumsum(counts[order]) - counts[order]
+        return np.array(ids, self.width), places, counts
+
+
+@functools.lru_cache(maxsize=4)
+def encoder(tokenizer_file: str) -> Encoder:
+    """One for each Python worker, so what it has learnt serves the tasks after."""
+    return Encoder(tokenizer_file)
+
+
+@functools.lru_cache(maxsize=1)
+def _gear(n: int) -> np.ndarray:
+    """A random 64-bit number for each id."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64))
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -83,13 +217,13 @@ def cuts(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= MIN_CHUNK:
         return [n] if n else []
-    h = mix(ids.astype(np.uint64) + np.uint64(1))
-    p = np.uint64(0x9E3779B97F4A7C15)
+    h = _gear(1 << 16)[ids] if ids.itemsize == 2 else mix(ids.astype(np.uint64) + np.uint64(1))
+    p = np.uint64(_MULTIPLIER)
     for step in (1, 2, 4):
         g = h.copy()
         g[step:] += h[:-step] * p
         h, p = g, np.uint64(int(p) ** 2 % (1 << 64))
-    at = np.flatnonzero((mix(h) >> np.uint64(64 - MEAN_BITS)) == 0) + 1
+    at = np.flatnonzero((h * np.uint64(_MULTIPLIER)) >> np.uint64(64 - MEAN_BITS) == 0) + 1
     out, last = [], 0
     for c in [*at.tolist(), n]:
         while c - last > MAX_CHUNK:
@@ -107,16 +241,16 @@ def _encode_batches(tokenizer_file: str, end_id: int, schema: pa.Schema):
         import zstandard
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, pack = Encoder(tokenizer_file), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], encoder.width).tobytes()
+        own, pack = encoder(tokenizer_file), zstandard.ZstdCompressor(level=3)
+        end = np.array([end_id], own.width).tobytes()
         for batch in batches:
             ids_col, sizes_col, payload_col, totals, roots = [], [], [], [], []
-            for text in batch.column("text"):
-                raw = encoder.encode(text.as_py() or "") + end
-                ids = np.frombuffer(raw, encoder.width)
+            for raw in own.encode([text or "" for text in batch.column("text").to_pylist()]):
+                raw += end
+                ids = np.frombuffer(raw, own.width)
                 names, sizes, payloads, at = [], [], [], 0
                 for c in cuts(ids):
-                    part = raw[at * encoder.width.itemsize : c * encoder.width.itemsize]
+                    part = raw[at * own.width.itemsize : c * own.width.itemsize]
                     names.append(hashlib.sha256(part).digest())
                     sizes.append(c - at)
                     payloads.append(pack.compress(part))
