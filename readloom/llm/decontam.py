@@ -5,10 +5,11 @@
 2. Each batch of documents is a shard of the index: postings (document, position) of
    benchmark terms, stored as a table, document by document, together with how often
    each term occurs; the counts are summed over all shards.
-3. A window is looked up from its rarest term over the whole corpus: the postings of
-   that term, shifted by its offset in the window, are intersected with the other
-   terms' lists shifted by theirs, and what is left are exact phrase matches. Starts
-   where at least `near` of the terms stand at their places are proximity matches.
+3. A window is looked up from its rarest terms over the whole corpus: the postings of
+   a term, shifted by its offset in the window, are intersected with the other terms'
+   lists shifted by theirs, and what is left are exact phrase matches. Starts where at
+   least `near` of the terms stand at their places are proximity matches; as any of them
+   holds one of the window's (size - near + 1) rarest, those are looked up.
 
 The benchmark is a stated query set of bounded size (`MAX_WINDOWS`); it alone is sent to
 all executors. Defined cases: null text has no words; repeated rows count each; an
@@ -98,22 +99,41 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["term", "n"])
 
 
-def intersect(doc: np.ndarray, place: np.ndarray, term: np.ndarray, n_words: np.ndarray, q: Queries, anchor: np.ndarray, by_anchor: tuple[np.ndarray, np.ndarray], near: int) -> tuple[np.ndarray, ...]:
+@dataclass
+class Lookup:
+    """Which windows a term looks up, and at what offset in them: entries in order of the term; where each term's begin."""
+
+    window: np.ndarray
+    offset: np.ndarray
+    begins: np.ndarray
+
+
+def lookups(q: Queries, rarity: np.ndarray, near: int) -> Lookup:
+    """The rarest terms of each window; ties go to the earlier place."""
+    cost = np.where(q.terms >= 0, rarity[np.maximum(q.terms, 0)] if len(rarity) else 0, np.iinfo(np.int64).max)
+    rank = np.argsort(cost, 1, kind="stable")
+    used = np.maximum(q.size - near, 0) + 1
+    window, nth = np.nonzero(np.arange(q.terms.shape[1]) < used[:, None])
+    offset = rank[window, nth]
+    term = q.terms[window, offset]
+    order = np.argsort(term, kind="stable")
+    return Lookup(window[order], offset[order], np.searchsorted(term[order], np.arange(len(q.vocabulary) + 1)))
+
+
+def intersect(doc: np.ndarray, place: np.ndarray, term: np.ndarray, n_words: np.ndarray, q: Queries, look: Lookup, near: int) -> tuple[np.ndarray, ...]:
     """(doc, start, window, matched) of every window with at least min(near, size) terms at their places.
 
-    `doc`, `place`, `term` are a shard's postings in order of document and place; `by_anchor` are the windows
-    ordered by their rarest term, and where each term's begin.
+    `doc`, `place`, `term` are a shard's postings in order of document and place.
     """
-    order, begins = by_anchor
-    n = begins[term + 1] - begins[term]  # windows that a posting anchors
+    n = look.begins[term + 1] - look.begins[term]  # windows that a posting looks up
     hit = np.flatnonzero(n)
     post = np.repeat(hit, n[hit])
     if not len(post):
         none = np.zeros(0, np.int64)
         return none, none, none, none
     first = np.cumsum(n[hit]) - n[hit]
-    window = order[np.arange(len(post)) - np.repeat(first, n[hit]) + np.repeat(begins[term[hit]], n[hit])]
-    start = place[post] - anchor[window]
+    entry = np.arange(len(post)) - np.repeat(first, n[hit]) + np.repeat(look.begins[term[hit]], n[hit])
+    window, start = look.window[entry], place[post] - look.offset[entry]
     fits = (start >= 0) & (start + q.size[window] <= n_words[doc[post]])
     post, window, start = post[fits], window[fits], start[fits]
     base = np.concatenate([[0], np.cumsum(n_words)])
@@ -127,16 +147,16 @@ def intersect(doc: np.ndarray, place: np.ndarray, term: np.ndarray, n_words: np.
         t = q.terms[window[live], j]
         missed[live] += (t >= 0) & (slot[np.minimum(at[live] + j, len(slot) - 1)] != t)
         live = live[q.size[window[live]] - missed[live] >= need[live]]
+    # one that several of its terms looked up counts once
+    order = np.lexsort((at[live], window[live]))
+    live = live[order]
+    once = np.concatenate([[True], (window[live][1:] != window[live][:-1]) | (at[live][1:] != at[live][:-1])]) if len(live) else np.zeros(0, bool)
+    live = live[once]
     return doc[post[live]], start[live], window[live], q.size[window[live]] - missed[live]
 
 
 def _match(q: Queries, rarity: np.ndarray, near: int, id_name: str):
-    big = np.iinfo(np.int64).max
-    cost = np.where(q.terms >= 0, rarity[np.maximum(q.terms, 0)] if len(rarity) else big, big)
-    anchor = cost.argmin(1) if len(cost) else np.zeros(0, np.int64)
-    key = q.terms[np.arange(len(anchor)), anchor] if len(anchor) else np.zeros(0, np.int32)
-    order = np.argsort(key, kind="stable")
-    begins = np.searchsorted(key[order], np.arange(len(q.vocabulary) + 1))
+    look = lookups(q, rarity, near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +169,7 @@ def _match(q: Queries, rarity: np.ndarray, near: int, id_name: str):
                 b = a + max(1, int(np.searchsorted(np.cumsum(n_words[a:]), 4_000_000)))
                 own = n_words[a:b]
                 doc = np.repeat(np.arange(len(own)), sizes[a:b])
-                d, s, w, m = intersect(doc, np.frombuffer(b"".join(raw_p[a:b]), "<i4").astype(np.int64), np.frombuffer(b"".join(raw_t[a:b]), "<i4").astype(np.int64), own, q, anchor, (order, begins), near)
+                d, s, w, m = intersect(doc, np.frombuffer(b"".join(raw_p[a:b]), "<i4").astype(np.int64), np.frombuffer(b"".join(raw_t[a:b]), "<i4").astype(np.int64), own, q, look, near)
                 exact = m == q.size[w]
                 base = np.concatenate([[0], np.cumsum(own)])
                 mark = np.zeros(int(base[-1]) + 1, np.int32)

@@ -9,7 +9,7 @@ give those of every shorter context. A context is a candidate if it holds at lea
 of all positions, which bounds the tree to DEPTH / P_MIN states, and is retained, with its
 suffixes, if its next bytes diverge from its parent's: count times Kullback-Leibler
 divergence of at least `GAIN` nats. Next-byte distributions are smoothed towards the
-parent's. Scoring uses the longest suffix that is a state.
+parent's, the more so the more different bytes were seen (Witten and Bell). Scoring uses the longest suffix that is a state.
 
 The unigram base needs the count of every word, which has no bound: words above `HEAVY` of
 all tokens (at most 1 / HEAVY of them) are sent to the executors, and other words of a
@@ -35,7 +35,7 @@ from readloom.llm import shared, words
 from readloom.llm.words import U64, mix, runs
 
 FOLDS, ALPHA = 10, 0.1
-DEPTH, P_MIN, GAIN, PULL = 6, 1e-5, 20.0, 2.0
+DEPTH, P_MIN, GAIN, PULL = 6, 5e-6, 5.0, 2.0
 HEAVY = 2.0**-20
 START, BLANK, END = 0x09, 0x20, 0x0A  # never inside a word
 END_WORD = words.word_hash("\n")
@@ -188,9 +188,10 @@ def grow(candidates: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.n
         names, state = np.unique(context, return_inverse=True)
         n = np.bincount(state, count, len(names))
         above = tree.probability(move)
-        own = (count + PULL * above) / (n[state] + PULL)
+        pull = PULL * np.bincount(state, minlength=len(names))  # by how many bytes were seen there
+        own = (count + pull[state] * above) / (n[state] + pull[state])
         gains.append(np.bincount(state, count * np.log(own / above), len(names)))
-        tree.levels.append(Level(names, PULL / (n + PULL), move, own))
+        tree.levels.append(Level(names, pull / (n + pull), move, own))
     wanted = [g >= GAIN for g in gains]
     for d in range(len(tree.levels) - 1, 0, -1):
         at, found = lookup(tree.levels[d - 1].context, tree.levels[d].context[wanted[d]] & U64((1 << 8 * d) - 1))
@@ -271,7 +272,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             n = np.repeat(np.where(known, heavy_n[at] if len(heavy_n) else 0, -1), size)
             row = w.row[order]
             sure = n >= 0
-            base = np.bincount(row[sure], np.log10((n[sure] + ALPHA) / floor), rows)
+            base = np.bincount(row[sure], np.log10((n[sure] + ALPHA) / floor), rows).astype(float)
             n_known = np.bincount(row[sure], minlength=rows)
             if end_n is not None:
                 base += np.log10((end_n + ALPHA) / floor)

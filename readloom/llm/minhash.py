@@ -88,7 +88,7 @@ def signatures(row: np.ndarray, h: np.ndarray, count: np.ndarray, rows: int, m:
 
 
 def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    part = sig.view(np.uint32).reshape(len(sig), bands, -1).astype(U64)
+    part = sig.view(np.uint32).reshape(len(sig), bands, sig.shape[1] // bands).astype(U64)
     key = np.broadcast_to(np.arange(bands, dtype=U64) * _LEVEL, part.shape[:2])
     for j in range(part.shape[2]):
         key = mix(key + part[:, :, j] * _STEP)
