@@ -36,7 +36,7 @@ from readloom.llm.words import U64, mix, runs
 
 FOLDS, ALPHA = 10, 0.1
 DEPTH, P_MIN, GAIN, PULL = 6, 5e-6, 5.0, 2.0
-HEAVY = 2.0**-20
+HEAVY = 2.0**-21
 START, BLANK, END = 0x09, 0x20, 0x0A  # never inside a word
 END_WORD = words.word_hash("\n")
 #: Distinct entries after which a task adds up what it has gathered.
@@ -220,10 +220,10 @@ def fit(train: DataFrame) -> Model:
     counts = shared.materialize(counts, "counts")
     word, gram = counts.filter("kind = 0").select(F.col("code").alias("word"), "n"), counts.filter("kind = 1").select("code", "n")
     total = word.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    heavy = word.filter(F.col("n") >= HEAVY * total["n"]).collect() if total["n"] else []  # 1 / HEAVY rows at most
-    code = np.array([r["word"] for r in heavy], np.int64).view(U64)
+    heavy = word.filter((F.col("n") >= HEAVY * total["n"]) & (F.lit(total["n"]) > 0)).toArrow()  # 1 / HEAVY rows at most
+    code, n = heavy["word"].to_numpy().view(U64), heavy["n"].to_numpy()
     order = np.argsort(code)
-    return Model(_tree(gram), word, (code[order], np.array([r["n"] for r in heavy], np.int64)[order]), int(total["n"]), int(total["v"]))
+    return Model(_tree(gram), word, (code[order], n[order]), int(total["n"]), int(total["v"]))
 
 
 def _tree(gram: DataFrame) -> Tree:
@@ -242,8 +242,9 @@ def _tree(gram: DataFrame) -> Tree:
     rows = []
     for level in levels[-2::-1]:
         often = level.groupBy("context").agg(F.sum("n").alias("t")).filter(F.col("t") >= P_MIN * float(total)).select("context")
-        got = level.join(often, "context").toPandas()
-        rows.append((got["context"].to_numpy(np.int64).view(U64), got["byte"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
+        got = level.join(often, "context").select("context", "byte", "n").toArrow()
+        context, byte, n = (got[c].to_numpy() for c in ("context", "byte", "n"))
+        rows.append((context.view(U64), byte, n))
     return grow(rows, root)
 
 
