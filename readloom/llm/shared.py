@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
@@ -40,7 +42,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most: texts may be long."""
+    """Before Python runs on executors: the code is sent, and Arrow batches hold so many rows at most, as texts may be long."""
+    ship.ensure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -9,7 +9,8 @@ holds examples in blocks of 64 with, for each term, its postings in the block an
 greatest weight there. A text visits blocks in order of their upper bounds and stops where
 no bound reaches its k-th best similarity, so the k nearest are exact.
 
-The share of toxic neighbours, weighted by a power of their similarity, becomes a
+The share of toxic neighbours, weighted by a power of their similarity and against a
+constant weight that far neighbours do not outweigh, becomes a
 probability by a logistic curve fitted on the examples' own leave-one-out votes, weighted
 to the classes' true shares. The neighbours are the evidence.
 
@@ -34,7 +35,9 @@ from readloom.llm.words import U64
 
 #: Documented bound of the sample that the classifier is fitted on.
 PER_CLASS = 2000
-NEIGHBOURS, POWER, BLOCK, LEAST_G = 15, 4.0, 64, 15.0
+NEIGHBOURS, POWER, BLOCK, LEAST_G = 15, 2.0, 64, 15.0
+#: Weight of a neighbour that is not toxic and not there: far neighbours alone prove little.
+ABSENT = 1.0
 PREFIXES = (4, 5)
 
 
@@ -127,7 +130,7 @@ class Index:
 
     def vote(self, at: np.ndarray, similarity: np.ndarray) -> float:
         w = similarity.astype(float) ** POWER
-        return float((w * self.label[at]).sum() / w.sum()) if len(at) and w.sum() > 0 else -1.0
+        return float((w * self.label[at]).sum() / (w.sum() + ABSENT)) if len(at) else -1.0
 
     def score(self, vote: float) -> float:
         if not 0 < self.prior < 1:
