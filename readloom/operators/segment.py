@@ -10,6 +10,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from readloom import ship
 from readloom.kernels import bytes as kb
 from readloom.kernels import segment as ks
 from readloom.kernels import trim as kt
@@ -26,6 +27,7 @@ COUNTS = "candidates int, delimiters int, empty int, terminal int, short int, ov
 
 def run(reads: DataFrame, plan: SegmentPlan) -> DataFrame:
     """`reads` with `fragments` (array of what was emitted, in order) and `cuts` (counts of the read)."""
+    ship.ensure(reads.sparkSession)
     has = Presence.of(reads)
     plan.validate(has.paired)
     struct = lambda spec: "struct<" + ", ".join(x.replace(" ", ":", 1) for x in spec.split(", ")) + ">"

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom import ship
 from readloom.functions import scalars as fs
 from readloom.kernels import bytes as kb
 from readloom.kernels import match as km
@@ -61,6 +62,11 @@ class SniffParams:
         return self
 
 
+def _shipped(df: DataFrame) -> DataFrame:
+    ship.ensure(df.sparkSession)
+    return df
+
+
 def by_mate(reads: DataFrame) -> DataFrame:
     """(record_index, mate, seq) of every read."""
     has = Presence.of(reads)
@@ -118,7 +124,7 @@ def library_hits(mates: DataFrame, library: dict[str, list[str]], params: MatchP
         keys = sorted(tally)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([tally[k] for k in keys], pa.int64())], ["mate", "entry", "n"])
 
-    return mates.select("mate", "seq").mapInArrow(run, "mate string, entry int, n long").groupBy("mate", "entry").agg(F.sum("n").alias("reads"))
+    return _shipped(mates.select("mate", "seq")).mapInArrow(run, "mate string, entry int, n long").groupBy("mate", "entry").agg(F.sum("n").alias("reads"))
 
 
 def _vote(votes: np.ndarray, m: np.ndarray, length: np.ndarray, at: np.ndarray, step: int) -> None:
@@ -157,7 +163,7 @@ def consensus_votes(mates: DataFrame, of: dict[str, list[str]]) -> DataFrame:
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["mate", "seed", "side", "col", "base", "n"])
 
-    return mates.select("mate", "seq").mapInArrow(run, fields).groupBy("mate", "seed", "side", "col", "base").agg(F.sum("n").alias("n"))
+    return _shipped(mates.select("mate", "seq")).mapInArrow(run, fields).groupBy("mate", "seed", "side", "col", "base").agg(F.sum("n").alias("n"))
 
 
 def overhang_votes(reads: DataFrame) -> DataFrame:
@@ -180,7 +186,7 @@ def overhang_votes(reads: DataFrame) -> DataFrame:
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["mate", "col", "base", "n"])
 
-    return reads.select("r1_seq", "r2_seq").mapInArrow(run, fields).groupBy("mate", "col", "base").agg(F.sum("n").alias("n"))
+    return _shipped(reads.select("r1_seq", "r2_seq")).mapInArrow(run, fields).groupBy("mate", "col", "base").agg(F.sum("n").alias("n"))
 
 
 def majority(votes: dict[str, int], voting: int) -> str | None:
@@ -309,7 +315,7 @@ def verify(mates: DataFrame, candidates: dict[str, list[str]], params: MatchPara
         columns = list(zip(*keys, strict=True)) if keys else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip((*columns, [tally[x] for x in keys]), (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["mate", "candidate", "what", "value", "n"])
 
-    return mates.select("mate", "seq").mapInArrow(run, fields).groupBy("mate", "candidate", "what", "value").agg(F.sum("n").alias("n"))
+    return _shipped(mates.select("mate", "seq")).mapInArrow(run, fields).groupBy("mate", "candidate", "what", "value").agg(F.sum("n").alias("n"))
 
 
 def median(histogram: dict[int, int]) -> int:

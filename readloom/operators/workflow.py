@@ -10,6 +10,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom import ship
 from readloom.functions.umi import with_umi
 from readloom.kernels import bytes as kb
 from readloom.kernels import match as km
@@ -36,6 +37,7 @@ def run(reads: DataFrame, plan: Plan) -> DataFrame:
 
     Nothing is dropped and nothing is shuffled; `route` and the sinks choose from it.
     """
+    ship.ensure(reads.sparkSession)
     has = Presence.of(reads)
     plan.validate(has.paired, has.quality, has.headers)
     work = with_umi(reads, plan.umi, has) if plan.umi else reads
