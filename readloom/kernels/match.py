@@ -57,10 +57,12 @@ def errors_at(m: np.ndarray, length: np.ndarray, a: np.ndarray) -> tuple[np.ndar
     n, width = m.shape
     wide = np.zeros((n, width + len(a)), np.uint8)
     wide[:, :width] = m
-    errors = np.zeros((n, width), np.int16 if len(a) < 30_000 else np.int32)
+    errors = np.zeros((n, width), np.uint8 if len(a) < 256 else np.int32)
+    differs = np.empty((n, width), bool)
     for j, base in enumerate(a):
-        errors += wide[:, j : j + width] != base
-    overlap = np.clip(length[:, None] - np.arange(width), 0, len(a))
+        np.not_equal(wide[:, j : j + width], base, out=differs)
+        errors += differs.view(np.uint8)
+    overlap = np.clip(length[:, None].astype(np.int32) - np.arange(width, dtype=np.int32), 0, len(a))
     return errors - (len(a) - overlap), overlap
 
 

@@ -32,8 +32,8 @@ class TrimParams:
 
 
 def _sums(phred: np.ndarray) -> np.ndarray:
-    out = np.zeros((phred.shape[0], phred.shape[1] + 1), np.int64)
-    np.cumsum(phred, axis=1, out=out[:, 1:])
+    out = np.zeros((phred.shape[0], phred.shape[1] + 1), np.int32)
+    np.cumsum(phred, axis=1, out=out[:, 1:], dtype=np.int32)
     return out
 
 
@@ -48,8 +48,13 @@ def quality_front(sums: np.ndarray, s: np.ndarray, e: np.ndarray, q: int, window
 def quality_tail(sums: np.ndarray, s: np.ndarray, e: np.ndarray, q: int, window: int) -> np.ndarray:
     """The last end whose window, cut by the start, reaches q; the start if none does."""
     at = np.arange(sums.shape[1])
-    begin = np.maximum(at - window, s[:, None])
-    ok = (at > s[:, None]) & (at <= e[:, None]) & (sums - np.take_along_axis(sums, begin, 1) >= q * (at - begin))
+    if s.any():
+        begin = np.maximum(at - window, s[:, None])
+        before = np.take_along_axis(sums, begin, 1)
+    else:  # untouched starts: the sums moved by a window
+        begin = np.maximum(at - window, 0)
+        before = sums[:, begin]
+    ok = (at > s[:, None]) & (at <= e[:, None]) & (sums - before >= q * (at - begin))
     return np.where(ok.any(1), ok.shape[1] - 1 - ok[:, ::-1].argmax(1), s)
 
 
@@ -92,7 +97,7 @@ def trim(m: np.ndarray, quality: np.ndarray | None, s: np.ndarray, e: np.ndarray
     s2 = np.minimum(s + p.front, e)
     s, e = count("fixed", s2, np.maximum(e - p.tail, s2))
     if p.needs_quality:
-        sums = _sums(np.maximum(quality.astype(np.int64) - 33, 0))
+        sums = _sums(np.maximum(quality.astype(np.int16) - 33, 0))
         if p.quality_front is not None:
             s, e = count("quality", quality_front(sums, s, e, p.quality_front, p.window), e)
         if p.quality_right is not None:

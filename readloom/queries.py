@@ -448,6 +448,11 @@ def report_correction(spark, sf_dir):
     return report.correction(corrected(spark, sf_dir))
 
 
+@query(f"WITH {EDITS_SQL} SELECT cast(n AS INTEGER) AS corrections, 'accepted' AS disposition, count(*) AS pairs FROM (SELECT count(*) FILTER (to1 OR to2) AS n FROM mm GROUP BY record_index) x WHERE n > 0 GROUP BY n")
+def report_corrections_per_pair(spark, sf_dir):
+    return report.corrections_per_pair(corrected(spark, sf_dir))
+
+
 @query(f"WITH {EDITS_SQL} SELECT original, corrected, count(*) AS bases FROM (SELECT b1 AS original, translate(b2, 'ACGT', 'TGCA') AS corrected FROM mm WHERE to1 UNION ALL SELECT b2, translate(b1, 'ACGT', 'TGCA') FROM mm WHERE to2) x GROUP BY ALL")
 def report_substitutions(spark, sf_dir):
     return report.substitutions(corrected(spark, sf_dir))
@@ -485,6 +490,11 @@ def linked_both(spark, sf_dir):
     return linked_rows(linked_run(spark, sf_dir))
 
 
+@query(linked_sql("(h5 AND h3)", _PLAIN))
+def linked_unmatched_continue(spark, sf_dir):
+    return linked_rows(linked_run(spark, sf_dir, unmatched="continue"))
+
+
 @query(linked_sql("(h5 OR h3)", _PLAIN))
 def linked_either(spark, sf_dir):
     return linked_rows(linked_run(spark, sf_dir, "either"))
@@ -539,6 +549,11 @@ def segment_terminal_discard(spark, sf_dir):
     return segment.sidecar(segmented(spark, sf_dir, terminal="discard"))
 
 
+@query(f"WITH {SEGMENT_SQL.format('')} SELECT record_index, concat('segment', cast(idx AS VARCHAR)) AS mate, 'FAIL' AS status, 'TOO_SHORT' AS reasons, cast(e - b AS INTEGER) AS original_length, cast(e - b AS INTEGER) AS adapter_trimmed_length, cast(e - b AS INTEGER) AS final_length, '.' AS adapter_name, '.' AS adapter_start FROM out WHERE e - b < 12")
+def segment_reasons(spark, sf_dir):
+    return segment.reason_rows(segmented(spark, sf_dir))
+
+
 @query(f"WITH {SEGMENT_SQL.format('')} SELECT record_index, cast(idx AS INTEGER) AS segment_index, substr(r1_seq, b + 1, e - b) AS r1_seq, concat(r1_header, '|segment=', cast(idx AS VARCHAR), '|span=', cast(b AS VARCHAR), '-', cast(e AS VARCHAR)) AS r1_header FROM out JOIN r USING (record_index) WHERE e - b >= 12")
 def segment_fragments(spark, sf_dir):
     return segment.passed(segmented(spark, sf_dir))
@@ -581,6 +596,12 @@ def tail_kmers(spark, sf_dir):
     return sniff.tail_kmers(sniff.by_mate(reads(spark, sf_dir, px.PAIRS)))
 
 
+@query(f"WITH {SEED_SQL} SELECT kmer, reads FROM inf")
+def informative_kmers(spark, sf_dir):
+    counted = sniff.tail_kmers(sniff.by_mate(reads(spark, sf_dir, px.PAIRS)))
+    return counted.filter((F.col("mate") == "R1") & (F.col("reads") >= 20) & fs.informative(F.col("kmer"), 10)).select("kmer", "reads")
+
+
 @query(f"WITH {SEED_SQL} SELECT kmer, reads FROM sd")
 def seed_top32(spark, sf_dir):
     return sniff.seeds(sniff.tail_kmers(sniff.by_mate(reads(spark, sf_dir, px.PAIRS))), "R1", 20)
@@ -641,6 +662,11 @@ def strand_kmer_map(spark, sf_dir):
     return strand.formats(reads(spark, sf_dir, px.TRANSCRIPT_READS), reads(spark, sf_dir, px.TRANSCRIPTS), 21)
 
 
+@query(f"WITH {STRAND_SQL} SELECT format, count(*) AS records FROM fm GROUP BY format")
+def strand_tally(spark, sf_dir):
+    return strand.tally(strand.formats(reads(spark, sf_dir, px.TRANSCRIPT_READS), reads(spark, sf_dir, px.TRANSCRIPTS), 21))
+
+
 @query(f"WITH {STRAND_SQL}, c AS (SELECT count(*) FILTER (format LIKE '%SF') AS f, count(*) FILTER (format LIKE '%SR') AS v FROM fm) SELECT f AS forward, v AS reverse, CASE WHEN f::DOUBLE / (f + v) >= 0.8 THEN 'forward' WHEN v::DOUBLE / (f + v) >= 0.8 THEN 'reverse' WHEN abs(f - v)::DOUBLE / (f + v) < 0.1 THEN 'unstranded' ELSE 'undetermined' END AS strandedness FROM c")
 def strand_classify(spark, sf_dir):
     rows = reads(spark, sf_dir, px.TRANSCRIPT_READS)
