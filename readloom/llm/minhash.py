@@ -274,24 +274,27 @@ def text_classes(docs: DataFrame) -> DataFrame:
     return components(links.select("a", "b").union(more.select("a", "b"))) if more.take(1) else comp
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """`docs` with row_key (of this scan), class_key, class_id (smallest doc_id of the class) and class_size."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row_key, class_key) of every row of this scan."""
     comp = text_classes(docs)
-    keyed = docs.select("doc_id", F.monotonically_increasing_id().alias("row_key"), text_id().alias("tid"), F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    keyed = docs.select("doc_id", F.monotonically_increasing_id().alias("row_key"), text_id().alias("tid"), shared.text_of().rlike(r"[^\x20\x09-\x0D]").alias("worded"))
     # a text without words is alone: its key is its row's
     own = F.when(F.col("worded"), F.coalesce("comp", "tid")).otherwise(F.col("row_key").cast("string").cast("binary"))
-    keyed = keyed.join(comp, "tid", "left").select("doc_id", "row_key", own.alias("class_key"))
-    classes = keyed.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return keyed.join(classes, "class_key")
+    return keyed.join(comp, "tid", "left").select("doc_id", "row_key", own.alias("class_key"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size of every row."""
-    return near_duplicates(docs).select("doc_id", "class_id", "class_size")
+    """doc_id, class_id (the smallest id of the class) and class_size of every row.
+
+    The classes are written before rows are joined to them, so both sides of the join are plain shuffles, of which
+    Spark splits the partitions of large classes.
+    """
+    keyed = _keyed(docs)
+    found = shared.materialize(keyed.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    return keyed.join(found, "class_key").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class, the one with the smallest id, with all its columns."""
-    rows = near_duplicates(docs)
-    kept = rows.groupBy("class_key").agg(F.min(F.struct("doc_id", "row_key")).alias("k")).select(F.col("k.row_key").alias("__row_key"))
+    kept = _keyed(docs).groupBy("class_key").agg(F.min(F.struct("doc_id", "row_key")).alias("k")).select(F.col("k.row_key").alias("__row_key"))
     return docs.withColumn("__row_key", F.monotonically_increasing_id()).join(kept, "__row_key", "left_semi").select(*docs.columns)
