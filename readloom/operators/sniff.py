@@ -95,10 +95,50 @@ def scan_totals(mates: DataFrame, min_overlap: int) -> DataFrame:
     return mates.groupBy("mate").agg(F.count("*").alias("sampled"), F.sum(tail).cast("bigint").alias("tail_positions"), F.sum(body).cast("bigint").alias("body_positions"), F.count_if(artifact(F.col("seq"), "A")).alias("poly_a"), F.count_if(artifact(F.col("seq"), "G")).alias("poly_g"))
 
 
+_CODE = np.full(256, 4, np.uint8)
+_CODE[list(b"ACGT")] = range(4)
+
+
+def _distinct_kmers(m: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Codes of the distinct k-mers, of ACGT only, in the last 60 bases of each read, all reads one after another."""
+    tail = kb.shift(m, np.maximum(length - TAIL, 0))[:, :TAIL]
+    if tail.shape[1] < K:
+        return np.zeros(0, np.int64)
+    base = _CODE[tail]  # padding is no base either
+    windows = base.shape[1] - K + 1
+    code = np.zeros((len(base), windows), np.int32)
+    bad = np.zeros((len(base), windows), bool)
+    for j in range(K):
+        part = base[:, j : j + windows]
+        code = code << 2 | (part & 3)
+        bad |= part == 4
+    code[bad] = 4**K
+    code.sort(axis=1)
+    new = np.ones(code.shape, bool)
+    new[:, 1:] = code[:, 1:] != code[:, :-1]
+    return code[new & (code < 4**K)]
+
+
 def tail_kmers(mates: DataFrame) -> DataFrame:
-    """(mate, kmer, reads): tail k-mers, once a read."""
-    each = mates.select("mate", F.explode(F.array_distinct(fs.kmers(tail_of(F.col("seq")), K))).alias("kmer"))
-    return each.groupBy("mate", "kmer").agg(F.count("*").alias("reads"))
+    """(mate, kmer, reads): tail k-mers, once a read; each task counts its own before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+        for batch in batches:
+            of = np.array(batch.column("mate").to_pylist(), object)
+            for mate in set(of.tolist()):
+                m, length = kb.matrix(batch.column("seq").filter(pa.array(of == mate)))
+                own = counts.setdefault(mate, np.zeros(4**K, np.int64))
+                for part in kb.parts([length], len(length)):
+                    own += np.bincount(_distinct_kmers(m[part], length[part]), minlength=4**K)
+        for mate, own in counts.items():
+            codes = np.flatnonzero(own)
+            letters = np.frombuffer(b"ACGT", np.uint8)[(codes[:, None] >> (2 * np.arange(K - 1, -1, -1))) & 3]
+            whole = np.zeros(len(codes), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([mate] * len(codes), pa.string()), kb.strings(letters, whole, whole + K), pa.array(own[codes])], ["mate", "kmer", "n"])
+
+    counted = _shipped(mates.select("mate", "seq")).mapInArrow(run, "mate string, kmer string, n long")
+    return counted.groupBy("mate", "kmer").agg(F.sum("n").alias("reads"))
 
 
 def seeds(kmers: DataFrame, mate: str, least: int) -> DataFrame:
