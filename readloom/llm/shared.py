@@ -23,8 +23,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/readloom-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove what the operators of this application have written between their steps; results that still read it must be saved before."""
+    remove(spark, own_folder(spark))
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:

@@ -38,3 +38,15 @@ def test_run_and_an_empty_table(spark, sf, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_steps_leave_one_folder_that_can_be_removed(spark, odd):
+    from pathlib import Path
+
+    from readloom.llm import shared
+
+    minhash.classes(odd).count()
+    own = Path(shared.own_folder(spark).removeprefix("file://"))
+    assert any(own.iterdir())
+    shared.clean(spark)
+    assert not own.exists()
