@@ -1,7 +1,8 @@
 """PII by format-preserving Feistel pseudonyms, in DataFrame functions only.
 
 Values are found by pattern and validated (card by Luhn, IBAN by its check digits, IP
-octets, calendar dates, phone and social security ranges). A valid value is permuted
+octets, calendar dates, social security ranges; phone numbers have any area and exchange,
+but from 200 on where only blanks part them). A valid value is permuted
 within its own format by a keyed Feistel network, so equal values get equal pseudonyms in
 every document, different ones stay different, and the result is again a valid value.
 The halves of a network are numbers modulo a and b (any two), so no value leaves its
@@ -29,7 +30,7 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])",
-    "phone": r"(?<![0-9(])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9(])(?:\+1[ .-]?[0-9]{3}[ .-][0-9]{3}[ .-]|(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]|[0-9]{3}[.-][0-9]{3}[ .-]|[0-9]{3} [0-9]{3}[.-]|[2-9][0-9]{2} [2-9][0-9]{2} ))[0-9]{4}(?![0-9])",
 }
 PATTERN = "|".join(PATTERNS.values())
 ROUNDS = 8
@@ -132,14 +133,19 @@ def _ssn(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    """Area and exchange 200-999 and the line; a leading 1 stays."""
+    """Area, exchange and line; a leading 1 stays. Pairs of area and exchange from 200 on are permuted among
+    themselves, and so are all others, so that digits parted by blanks alone stay in the range they are known by."""
 
     def body(d: Column) -> Column:
         def ten(t: Column) -> Column:
-            new = feistel((number(t, 1, 3) - 200) * 800 + number(t, 4, 3) - 200, number(t, 7, 4), 640_000, 10_000, key, "phone")
-            return let(new, lambda x: F.concat(zeros(F.floor(x["l"] / 800) + 200, 3), zeros(x["l"] % 800 + 200, 3), zeros(x["r"], 4)))
-
-        return F.when(F.length(d) == 11, F.concat(F.lit("1"), ten(F.substring(d, 2, 10)))).otherwise(ten(d))
+            area, exchange, line = number(t, 1, 3), number(t, 4, 3), number(t, 7, 4)
+            assigned = feistel((area - 200) * 800 + exchange - 200, line, 640_000, 10_000, key, "phone")
+            other = feistel(F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange), line, 360_000, 10_000, key, "phone other")
+            joined = lambda a, e, x: F.concat(zeros(a, 3), zeros(e, 3), zeros(x["r"], 4))
+            low = lambda x: F.when(x["l"] < 200_000, joined(F.floor(x["l"] / 1000), x["l"] % 1000, x)).otherwise(joined(F.floor((x["l"] - 200_000) / 200) + 200, x["l"] % 200, x))
+            return F.when((area >= 200) & (exchange >= 200), let(assigned, lambda x: joined(F.floor(x["l"] / 800) + 200, x["l"] % 800 + 200, x))).otherwise(let(other, low))
+
+        return let(F.when(F.length(d) == 11, F.substring(d, 2, 10)).otherwise(d), lambda t: F.concat(F.when(F.length(d) == 11, F.lit("1")).otherwise(F.lit("")), ten(t)))
 
     return refill(value, let(digits(value), body))
 

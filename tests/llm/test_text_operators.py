@@ -121,6 +121,19 @@ def test_pseudonyms_are_permutations(spark):
         assert len(set(got)) == len(values) and {len(x) for x in got} <= {len(x) for x in values} | set(range(7, 16))
 
 
+def test_phones_of_any_area_are_found_and_link(spark):
+    old = [f"({a:03d}) {e:03d}-{x:04d}" for a in (0, 17, 136, 199, 200, 999) for e in (0, 199, 200, 555, 999) for x in (0, 7713, 9999)]
+    docs = spark.createDataFrame([(i, f"call {p}.") for i, p in enumerate(old)] + [(1000, "+1 017-555-7713 and +1 017 555 7713"), (1001, "017 555 7713"), (1002, "212 555 7713")], "doc_id int, text string")
+    rows = {r.doc_id: r for r in pii.find(docs).collect()}
+    new = [rows[i].pii[0].new for i in range(len(old))]
+    assert all(re.fullmatch(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", x) for x in new) and len(set(new)) == len(old)
+    assert [p[1] >= "2" and p[6] >= "2" for p in new] == [p[1] >= "2" and p[6] >= "2" for p in old]
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    assert [digits(x.new) for x in rows[1000].pii] == ["1" + digits(new[old.index("(017) 555-7713")])] * 2
+    assert not rows[1001].pii and rows[1001].new_text == "017 555 7713"
+    assert re.fullmatch(r"[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}", rows[1002].new_text)
+
+
 URLS = ["https://WWW.Example.com/en/1?q#f", "http://a.example.com/en/", "ftp://example.net/es/x", "x://b.net/fr/", "x://net/de/", "no scheme", None, "://host", "http://com", "http://com/", "http://a.b.com/q", "http://notcom/en/", "http://h://p/x?y", "HTTP://É.ORG/a b"]
 
 
