@@ -11,15 +11,17 @@
    least `near` of the terms stand at their places are proximity matches; as any of them
    holds one of the window's (size - near + 1) rarest, those are looked up.
 
-The benchmark is a stated query set of bounded size (`MAX_WINDOWS`); it alone is sent to
-all executors. Defined cases: null text has no words; repeated rows count each; an
+Windows are matched in blocks of about `MAX_WINDOWS`, dealt by their words so that equal windows of
+several items stay one; each block is held against the stored postings and adds its matches to those
+of the blocks before. A block and the benchmark's distinct words alone are sent to all executors. Defined cases: null text has no words; repeated rows count each; an
 empty benchmark hits nothing; documents without words have n_words 0 and are clean.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from readloom.llm import shared, words
 
 WIDTH = 13
-#: Proven bound of what is broadcast: a benchmark of more windows is refused, to be given in blocks.
+#: Proven bound of what is broadcast at once: a benchmark of more windows is matched in blocks.
 MAX_WINDOWS = 2_000_000
 
 
@@ -43,19 +45,47 @@ class Queries:
     owners: list[list[str]]  # items that hold the window
 
 
-def compile_queries(items: list[tuple[object, str | None]], width: int = WIDTH) -> Queries:
+Items = list[tuple[object, str | None]]
+
+
+def item_lists(benchmark: DataFrame, size: int = 2000) -> Iterator[Items]:
+    """The rows of `benchmark`, so many at once."""
+    rows = (tuple(r) for r in benchmark.select("item_id", "text").toLocalIterator())
+    while part := list(islice(rows, size)):
+        yield part
+
+
+def _split(items: Items) -> words.Words:
     data, offsets = words.text_buffers(pa.array([t for _, t in items], pa.string()))
-    w = words.split(data, offsets, words.ALNUM, lower=True)
-    vocabulary = np.unique(w.hash)
-    term = np.searchsorted(vocabulary, w.hash)
-    bounds = np.concatenate([[0], np.cumsum(w.counts())])
+    return words.split(data, offsets, words.ALNUM, lower=True)
+
+
+def count_windows(lists: Iterable[Items], width: int = WIDTH) -> tuple[np.ndarray, int]:
+    """Sorted hashes of all words, and the number of windows, equal ones counted each."""
+    vocabulary, n = np.zeros(0, words.U64), 0
+    for items in lists:
+        w = _split(items)
+        vocabulary = np.union1d(vocabulary, w.hash)
+        counts = w.counts()
+        n += int(np.maximum(counts - width + 1, counts > 0).sum())
+    return vocabulary, n
+
+
+def compile_queries(lists: Iterable[Items], vocabulary: np.ndarray, width: int = WIDTH, block: int = 0, blocks: int = 1) -> Queries:
+    """The distinct windows of one block of `blocks`."""
     owners: dict[tuple[int, ...], set[str]] = {}
-    for i, (item_id, _) in enumerate(items):
-        own = term[bounds[i] : bounds[i + 1]]
-        if not len(own) or item_id is None:
-            continue
-        for j in range(max(1, len(own) - width + 1)):
-            owners.setdefault(tuple(own[j : j + width].tolist()), set()).add(str(item_id))
+    for items in lists:
+        w = _split(items)
+        term = np.searchsorted(vocabulary, w.hash)
+        bounds = np.concatenate([[0], np.cumsum(w.counts())])
+        for i, (item_id, _) in enumerate(items):
+            own = term[bounds[i] : bounds[i + 1]]
+            if not len(own) or item_id is None:
+                continue
+            for j in range(max(1, len(own) - width + 1)):
+                key = tuple(own[j : j + width].tolist())
+                if hash(key) % blocks == block:
+                    owners.setdefault(key, set()).add(str(item_id))
     keys = sorted(owners)
     terms = np.full((len(keys), width), -1, np.int32)
     for k, key in enumerate(keys):
@@ -155,7 +185,12 @@ def intersect(doc: np.ndarray, place: np.ndarray, term: np.ndarray, n_words: np.
     return doc[post[live]], start[live], window[live], q.size[window[live]] - missed[live]
 
 
-def _match(q: Queries, rarity: np.ndarray, near: int, id_name: str):
+#: What a block adds to, beside the postings.
+FOUND = "n_near long, items array<string>, spans array<struct<start:int,end:int>>"
+
+
+def _match(q: Queries, rarity: np.ndarray, near: int, id_name: str, keep_postings: bool = False):
+    """Matches of a block, added to those that the rows have from blocks before; postings stay for a next one."""
     look = lookups(q, rarity, near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,20 +207,32 @@ def _match(q: Queries, rarity: np.ndarray, near: int, id_name: str):
                 d, s, w, m = intersect(doc, np.frombuffer(b"".join(raw_p[a:b]), "<i4").astype(np.int64), np.frombuffer(b"".join(raw_t[a:b]), "<i4").astype(np.int64), own, q, look, near)
                 exact = m == q.size[w]
                 base = np.concatenate([[0], np.cumsum(own)])
+                items, spans, n_near = [set() for _ in own], [set() for _ in own], np.bincount(d[~exact], minlength=len(own))
                 mark = np.zeros(int(base[-1]) + 1, np.int32)
+                if "spans" in batch.schema.names:
+                    before = batch.slice(a, len(own))
+                    n_near = n_near + np.array(before.column("n_near"), np.int64)
+                    for i, (x, sp) in enumerate(zip(before.column("items").to_pylist(), before.column("spans").to_pylist(), strict=True)):
+                        items[i].update(x)
+                        for r in sp:
+                            spans[i].add((r["start"], r["end"]))
+                            mark[base[i] + r["start"]] += 1
+                            mark[base[i] + r["end"]] -= 1
                 np.add.at(mark, base[d[exact]] + s[exact], 1)
                 np.add.at(mark, base[d[exact]] + s[exact] + q.size[w[exact]], -1)
                 covered = np.concatenate([[0], np.cumsum(np.cumsum(mark[:-1]) > 0)])
                 out["n_hit"].extend((covered[base[1:]] - covered[base[:-1]]).tolist())
-                out["n_near"].extend(np.bincount(d[~exact], minlength=len(own)).tolist())
-                items, spans = [set() for _ in own], [[] for _ in own]
+                out["n_near"].extend(n_near.tolist())
                 for i, st, win in zip(d[exact].tolist(), s[exact].tolist(), w[exact].tolist(), strict=True):
                     items[i].update(q.owners[win])
-                    spans[i].append((st, st + int(q.size[win])))
+                    spans[i].add((st, st + int(q.size[win])))
                 out["items"].extend(sorted(x) for x in items)
-                out["spans"].extend([{"start": x, "end": y} for x, y in sorted(set(sp))] for sp in spans)
+                out["spans"].extend([{"start": x, "end": y} for x, y in sorted(sp)] for sp in spans)
                 a = b
-            yield pa.RecordBatch.from_arrays([batch.column(id_name), batch.column("n_words"), pa.array(out["n_hit"], pa.int64()), pa.array(out["n_near"], pa.int64()), pa.array(out["items"], pa.list_(pa.string())), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], [id_name, "n_words", "n_hit", "n_near", "items", "spans"])
+            found = [pa.array(out["n_near"], pa.int64()), pa.array(out["items"], pa.list_(pa.string())), pa.array(out["spans"], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+            first = ("terms", "places") if keep_postings else ("n_hit",)
+            own = [batch.column(c) for c in first] if keep_postings else [pa.array(out["n_hit"], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(id_name), batch.column("n_words"), *own, *found], [id_name, "n_words", *first, "n_near", "items", "spans"])
 
     return run
 
@@ -196,16 +243,18 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ne
     spark = docs.sparkSession
     shared.small_batches(spark, 2000)
     near = near if near is not None else width - 2
-    n = benchmark.count()
-    items = [(r[0], r[1]) for r in benchmark.select("item_id", "text").limit(MAX_WINDOWS + 1).collect()] if n <= MAX_WINDOWS else []
-    if n > MAX_WINDOWS or len((q := compile_queries(items, width)).terms) > MAX_WINDOWS:
-        raise ValueError(f"over {MAX_WINDOWS} windows: give the benchmark in blocks")
+    vocabulary, n = count_windows(item_lists(benchmark), width)
+    blocks = max(1, -(-n // MAX_WINDOWS))
     kind = docs.schema[id_name].dataType.simpleString()
-    index = shared.materialize(docs.select(id_name, "text").mapInArrow(_index(q.vocabulary, id_name), f"{id_name} {kind}, n_words long, terms binary, places binary"), "postings")
-    rarity = np.zeros(len(q.vocabulary), np.int64)
+    index = shared.materialize(docs.select(id_name, "text").mapInArrow(_index(vocabulary, id_name), f"{id_name} {kind}, n_words long, terms binary, places binary"), "postings")
+    rarity = np.zeros(len(vocabulary), np.int64)
     for r in index.select("terms").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # benchmark words at most
         rarity[r["term"]] = r["n"]
-    return index.mapInArrow(_match(q, rarity, near, id_name), f"{id_name} {kind}, n_words long, n_hit long, n_near long, items array<string>, spans array<struct<start:int,end:int>>")
+    for block in range(blocks - 1):
+        q = compile_queries(item_lists(benchmark), vocabulary, width, block, blocks)
+        index = shared.materialize(index.mapInArrow(_match(q, rarity, near, id_name, True), f"{id_name} {kind}, n_words long, terms binary, places binary, {FOUND}"), "postings")
+    q = compile_queries(item_lists(benchmark), vocabulary, width, blocks - 1, blocks)
+    return index.mapInArrow(_match(q, rarity, near, id_name), f"{id_name} {kind}, n_words long, n_hit long, {FOUND}")
 
 
 def digest(found: DataFrame) -> DataFrame:

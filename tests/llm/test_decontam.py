@@ -54,3 +54,16 @@ def test_odd_rows(spark, odd, none):
     assert got == [(0, 4, 0), (1, 6, 3), (1, 6, 3), (2, 0, 0), (3, 0, 0), (4, 0, 0), (5, 20000, 0), (6, 1, 0)]
     assert decontam.find_benchmark(none, bench).count() == 0
     assert {r.n_hit for r in decontam.find_benchmark(odd, bench.limit(0)).collect()} == {0}
+
+
+def test_a_benchmark_of_many_blocks_gives_the_same(spark, rng, monkeypatch):
+    items = [(i, prose(rng, rng.choice([2, 5, 13, 40]), 30)) for i in range(20)]
+    items += [(50, items[3][1]), (51, prose(rng, 300, 30)), (None, "w1 w2"), (52, None)]  # windows of two items, an item of many blocks
+    docs = [(d % 30, prose(rng, rng.choice([0, 60, 200]), 30) + " " + (rng.choice(items)[1] or "")) for d in range(60)] + [(None, items[21][1]), (90, None)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = lambda: sorted(map(str, decontam.find_benchmark(frame, bench).collect()))
+    want = rows()
+    monkeypatch.setattr(decontam, "MAX_WINDOWS", 150)
+    assert decontam.count_windows(decontam.item_lists(bench, 7))[1] > 300
+    assert rows() == want
