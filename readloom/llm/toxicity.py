@@ -9,13 +9,17 @@ holds examples in blocks of 64 with, for each term, its postings in the block an
 greatest weight there. A text visits blocks in order of their upper bounds and stops where
 no bound reaches its k-th best similarity, so the k nearest are exact.
 
+Texts without any of those terms are held against all terms of all examples, also without
+loss: postings of rare terms first, then the examples that what is left can still lift
+among the k nearest. Terms that no example has count in the text's norm as those of one document.
+
 The share of toxic neighbours, weighted by a power of their similarity and against a
 constant weight that far neighbours do not outweigh, becomes a
 probability by a logistic curve fitted on the examples' own leave-one-out votes, weighted
 to the classes' true shares. The neighbours are the evidence.
 
-Defined cases: null text is empty; a text without terms of the feature space gets the
-share of toxic ones among such examples; null labels count as none and repeated ones as toxic if any is; with no labels of
+Defined cases: null text is empty; a text without any term of an example gets the
+share of toxic ones among examples outside the feature space; null labels count as none and repeated ones as toxic if any is; with no labels of
 a class all scores are the other's; null ids are kept, repeated rows scored alike; an
 empty table gives an empty result; labels, languages and ids are no inputs of a score.
 """
@@ -86,6 +90,85 @@ def select(terms: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     return every[g >= LEAST_G].astype(U64)
 
 
+@dataclass
+class Whole:
+    """All terms of the examples: postings by term and weights by example."""
+
+    vocabulary: np.ndarray  # sorted hashes
+    idf: np.ndarray
+    unseen: float  # idf of other terms
+    begins: np.ndarray  # of each term's postings
+    example: np.ndarray
+    weight: np.ndarray
+    most: np.ndarray
+    bounds: np.ndarray  # of each example's terms
+    term: np.ndarray
+    own: np.ndarray
+    curve: tuple[float, float] | None = None
+
+    def vector(self, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, weight) of the hashes that examples have."""
+        at = np.minimum(np.searchsorted(self.vocabulary, term), len(self.vocabulary) - 1)
+        known = self.vocabulary[at] == term
+        x = (1 + np.log(count)) * np.where(known, self.idf[at], self.unseen)
+        norm = np.sqrt((x * x).sum())
+        return at[known], (x[known] / norm if norm else x[known])
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(example, similarity) of the k nearest with a common term; ties go to the earlier example."""
+        n = len(self.bounds) - 1
+        size = self.begins[term + 1] - self.begins[term]
+        order = np.argsort(size, kind="stable")
+        term, weight, size = term[order], weight[order], size[order]
+        left = np.append(np.cumsum((weight * self.most[term])[::-1])[::-1], 0.0)  # at most, from each term on
+        cost = np.cumsum(size)
+        sums, a, budget = np.zeros(n), 0, n
+        while True:
+            b = max(a + 1, int(np.searchsorted(cost, budget, side="right"))) if a < len(term) else a
+            b = min(b, len(term))
+            sz = size[a:b]
+            entry = np.arange(int(sz.sum())) + np.repeat(self.begins[term[a:b]] - (np.cumsum(sz) - sz), sz)
+            sums += np.bincount(self.example[entry], self.weight[entry] * np.repeat(weight[a:b], sz), n)
+            if skip >= 0:
+                sums[skip] = -1.0 - left[0]
+            a, budget = b, 4 * budget
+            least = np.partition(sums, n - k)[n - k] if n > k else 0.0
+            near = np.flatnonzero((sums + left[a] >= max(least, 0.0) - 1e-6) & (sums + left[a] > 0))
+            if a == len(term) or len(near) <= 8 * k:
+                break
+        if a < len(term) and len(near):  # the rest of those alone
+            q = np.zeros(len(self.vocabulary))
+            q[term] = weight
+            sz = self.bounds[near + 1] - self.bounds[near]
+            entry = np.arange(int(sz.sum())) + np.repeat(self.bounds[near] - (np.cumsum(sz) - sz), sz)
+            got = np.bincount(np.repeat(np.arange(len(near)), sz), q[self.term[entry]] * self.own[entry], len(near))
+        else:
+            got = sums[near]
+        near, got = near[got > 0], got[got > 0]
+        keep = np.lexsort((near, -got))[:k]
+        return near[keep], got[keep]
+
+
+def whole(docs: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray, df: np.ndarray, n_docs: int) -> Whole | None:
+    """All terms of examples given as (hashes, counts)."""
+    if not len(vocabulary):
+        return None
+    idf = np.log((1.0 + n_docs) / (1.0 + df)) + 1e-3
+    none = np.zeros(0)
+    w = Whole(vocabulary, idf, float(np.log((1.0 + n_docs) / 2.0) + 1e-3), none, none, none, none, none, none, none)
+    vectors = [w.vector(h, c) for h, c in docs]
+    sizes = np.array([len(t) for t, _ in vectors])
+    w.bounds = np.concatenate([[0], np.cumsum(sizes)])
+    w.term = np.concatenate([t for t, _ in vectors]).astype(np.int32)
+    w.own = np.concatenate([x for _, x in vectors]).astype(np.float32)
+    order = np.argsort(w.term, kind="stable")
+    w.example = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)[order]
+    w.weight = w.own[order]
+    w.begins = np.searchsorted(w.term[order], np.arange(len(vocabulary) + 1))
+    w.most = np.maximum.reduceat(w.weight, w.begins[:-1])  # each term has an example
+    return w
+
+
 @dataclass
 class Index:
     vocabulary: np.ndarray  # sorted hashes
@@ -98,6 +181,7 @@ class Index:
     prior: float
     blank: float  # of texts without terms
     curve: tuple[float, float]
+    whole: Whole | None = None  # for texts without terms of the vocabulary
 
     def weights(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
         x = (1 + np.log(count)) * self.idf[term]
@@ -132,12 +216,24 @@ class Index:
         w = similarity.astype(float) ** POWER
         return float((w * self.label[at]).sum() / (w.sum() + ABSENT)) if len(at) else -1.0
 
+    def outside(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(score, examples, similarities) of a text without terms of the vocabulary, given by all its terms."""
+        w = self.whole
+        if w is None or w.curve is None or not len(term):
+            return self.score(-1.0), np.zeros(0, np.int64), np.zeros(0)
+        at, similarity = w.nearest(*w.vector(term, count), NEIGHBOURS)
+        return self.chance(self.vote(at, similarity), w.curve) if len(at) else self.score(-1.0), at, similarity
+
     def score(self, vote: float) -> float:
         if not 0 < self.prior < 1:
             return self.prior
         if vote < 0:
             return self.blank
-        a, b = self.curve
+        return self.chance(vote, self.curve)
+
+    @staticmethod
+    def chance(vote: float, curve: tuple[float, float]) -> float:
+        a, b = curve
         return float(1 / (1 + np.exp(-np.clip(a * vote + b, -40, 40))))
 
 
@@ -183,6 +279,27 @@ def build(ids: np.ndarray, label: np.ndarray, docs: list[tuple[np.ndarray, np.nd
     return index
 
 
+def add_whole(index: Index, docs: list[tuple[np.ndarray, np.ndarray]], vocabulary: np.ndarray, df: np.ndarray, n_docs: int) -> None:
+    """The index of all terms, examples in the order of `index`. Its curve has the slope of all examples' votes and
+    gives, over those without terms of the smaller vocabulary, `blank`."""
+    index.whole = w = whole(docs, vocabulary, df, n_docs)
+    if w is None or not 0 < index.prior < 1 or not 0 < index.label.sum() < len(index.label):
+        return
+    parts = [slice(w.bounds[i], w.bounds[i + 1]) for i in range(len(docs))]
+    votes = np.array([max(0.0, index.vote(*w.nearest(w.term[x].astype(np.int64), w.own[x].astype(float), NEIGHBOURS, skip=i))) for i, x in enumerate(parts)])
+    share = np.where(index.label == 1, index.prior / index.label.mean(), (1 - index.prior) / (1 - index.label.mean()))
+    slope, at = logistic(votes, index.label, share)
+    out = np.array([not np.isin(h, index.vocabulary).any() for h, _ in docs], bool)
+    if out.any():
+        low, high = -60.0 - abs(slope), 60.0 + abs(slope)
+        for _ in range(60):
+            at = (low + high) / 2
+            p = 1 / (1 + np.exp(-np.clip(slope * votes[out] + at, -40, 40)))
+            low, high = (at, high) if (share[out] * p).sum() < index.blank * share[out].sum() else (low, at)
+    if slope > 0:
+        w.curve = (slope, at)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
     """Weighted logistic regression of one variable by Newton steps."""
     a = b = 0.0
@@ -242,14 +359,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index
         examples.setdefault(r["doc_id"], (np.frombuffer(r["terms"], "<u8"), np.frombuffer(r["counts"], "<i4")))
     ids = np.array(sorted(examples), object)
     classes = np.array([label[i] for i in ids], np.int64)
-    vocabulary = select([examples[i][0] for i in ids], classes)
-    df, n_docs = np.zeros(len(vocabulary), np.int64), 0
-    for r in docs.select("text").mapInArrow(_document_frequency(vocabulary), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # the sample's terms at most
-        if r["term"] < 0:
-            n_docs = r["n"]
-        else:
-            df[r["term"]] = r["n"]
-    return build(ids, classes, [examples[i] for i in ids], vocabulary, df, n_docs, (counts.get(0, 0), counts.get(1, 0)))
+    texts = [examples[i] for i in ids]
+    every = np.unique(np.concatenate([np.zeros(0, U64), *[h for h, _ in texts]]))
+    df, n_docs = np.zeros(len(every), np.int64), 0
+    got = docs.select("text").mapInArrow(_document_frequency(every), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # the sample's terms at most
+    term, n = got["term"].to_numpy(), got["n"].to_numpy()
+    df[term[term >= 0]] = n[term >= 0]
+    n_docs = int(n[term < 0].sum())
+    vocabulary = select([h for h, _ in texts], classes)
+    index = build(ids, classes, texts, vocabulary, df[np.searchsorted(every, vocabulary)], n_docs, (counts.get(0, 0), counts.get(1, 0)))
+    add_whole(index, [examples[i] for i in index.ids], every, df, n_docs)
+    return index
 
 
 EVIDENCE = "array<struct<example:string,toxic:int,similarity:float>>"
@@ -270,7 +390,17 @@ def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), ev
             for a, b in words.slices(offsets):
                 row, term, count = term_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], index.vocabulary)
                 bounds = np.searchsorted(row, np.arange(b - a + 1))
+                outside = np.flatnonzero(bounds[:-1] == bounds[1:])
+                texts = [data[offsets[a + i] : offsets[a + i + 1]] for i in outside]
+                row_o, term_o, count_o = term_counts(np.concatenate([data[:0], *texts]), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]))
+                bounds_o = dict(zip(outside.tolist(), np.searchsorted(row_o, [np.arange(len(outside)), np.arange(1, len(outside) + 1)]).T.tolist(), strict=True))
                 for i in range(b - a):
+                    if i in bounds_o:
+                        own = slice(*bounds_o[i])
+                        value, at, similarity = index.outside(term_o[own], count_o[own])
+                        scores.append(value)
+                        shown.append([{"example": index.ids[x], "toxic": int(index.label[x]), "similarity": float(s)} for x, s in zip(at, similarity, strict=True)] if evidence else [])
+                        continue
                     own = slice(bounds[i], bounds[i + 1])
                     at, similarity = index.nearest(term[own], index.weights(term[own], count[own]), NEIGHBOURS) if bounds[i] < bounds[i + 1] and index.local else (np.zeros(0, np.int64), np.zeros(0))
                     scores.append(index.score(index.vote(at, similarity)))

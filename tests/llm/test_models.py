@@ -119,6 +119,25 @@ def test_block_bounds_lose_no_neighbour(rng):
         assert np.allclose(dense[at] @ dense[q], s, atol=1e-5)
 
 
+def test_copies_of_examples_toxic_by_rare_words_are_found(spark, toxic):
+    rows, labels = toxic
+    rare = [(1000 + i, " ".join(f"rare{i}x{j}" for j in range(30))) for i in range(2)]
+    copies = [(2000 + i, t) for i, (_, t) in enumerate(rare)]
+    docs = spark.createDataFrame([*rows, *rare, *copies], "doc_id bigint, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([*labels, *[(d, 1) for d, _ in rare]], "doc_id bigint, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(docs, index).collect()}
+    for i in range(2):
+        assert got[2000 + i].score > 0.5 and got[2000 + i].evidence[0].example == str(1000 + i)
+    w, n = index.whole, len(index.ids)
+    dense = np.zeros((n, len(w.vocabulary)))
+    for i in range(n):
+        dense[i, w.term[w.bounds[i] : w.bounds[i + 1]]] = w.own[w.bounds[i] : w.bounds[i + 1]]
+    for i in range(0, n, 17):
+        t = np.flatnonzero(dense[i])
+        want = np.sort(np.delete(dense @ dense[i], i))[::-1][:15]
+        assert np.allclose(w.nearest(t, dense[i][t], 15, skip=i)[1], want[want > 0], atol=1e-5)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     lab = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (5, 0), (None, 1), (6, None)], "doc_id bigint, toxic int")
     for df, x in ((odd, lab), (odd, lab.limit(0)), (none, lab)):
