@@ -13,8 +13,12 @@
 
 Windows are matched in blocks of about `MAX_WINDOWS`, dealt by their words so that equal windows of
 several items stay one; each block is held against the stored postings and adds its matches to those
-of the blocks before. A block and the benchmark's distinct words alone are sent to all executors. Defined cases: null text has no words; repeated rows count each; an
-empty benchmark hits nothing; documents without words have n_words 0 and are clean.
+of the blocks before. A block and the benchmark's distinct words alone are sent to all executors.
+
+Defined cases: null text has no words; repeated rows count each; an empty benchmark hits nothing; documents
+without words have n_words 0 and are clean; texts of any length are read whole, so many documents at once that
+their words take a bounded table; ties of rarity go to the earlier place in the window; other columns are carried
+by `drop_leaks`, whatever their names, and not read by `find_benchmark`.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm import shared, words
@@ -259,8 +263,24 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, ne
 
 def digest(found: DataFrame) -> DataFrame:
     """n_items, items_sha256 and contaminated from find_benchmark()'s columns."""
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "n_near")
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "n_near", listed.alias("spans"))
 
 
-def contaminated():
+def contaminated() -> Column:
+    """The rule of the report: hits in at least a twentieth of the words."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def leaked(width: int = WIDTH) -> Column:
+    """The rule of the filter: a whole window anywhere, or shorter items in at least a twentieth of the words."""
+    return F.exists("spans", lambda s: s["end"] - s["start"] >= width) | contaminated()
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Rows of `docs` whose text is not `leaked()`, with all their columns. Texts are told by their SHA-256, so the decision
+    needs no row numbers and is the same for equal texts."""
+    key = shared.free_name(docs, "text_key")
+    named = docs.withColumn(key, F.sha2(shared.text_of(), 256))
+    found = find_benchmark(named, benchmark, width, id_name=key)
+    return named.join(found.filter(leaked(width)).select(key).distinct(), key, "left_anti").select(*docs.columns)

@@ -274,13 +274,15 @@ def text_classes(docs: DataFrame) -> DataFrame:
     return components(links.select("a", "b").union(more.select("a", "b"))) if more.take(1) else comp
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, class_key) of every row of this scan."""
-    comp = text_classes(docs)
-    keyed = docs.select("doc_id", F.monotonically_increasing_id().alias("row_key"), text_id().alias("tid"), shared.text_of().rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+def _keyed(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """(doc_id, row_key, class_key) of `rows` (doc_id, row_key, tid, worded), which are numbered in a written table."""
     # a text without words is alone: its key is its row's
     own = F.when(F.col("worded"), F.coalesce("comp", "tid")).otherwise(F.col("row_key").cast("string").cast("binary"))
-    return keyed.join(comp, "tid", "left").select("doc_id", "row_key", own.alias("class_key"))
+    return rows.join(comp, "tid", "left").select("doc_id", "row_key", own.alias("class_key"))
+
+
+def _identities(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select("doc_id", text_id().alias("tid"), shared.text_of().rlike(r"[^\x20\x09-\x0D]").alias("worded"), *more)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -289,12 +291,19 @@ def classes(docs: DataFrame) -> DataFrame:
     The classes are written before rows are joined to them, so both sides of the join are plain shuffles, of which
     Spark splits the partitions of large classes.
     """
-    keyed = _keyed(docs)
+    rows, _ = shared.numbered(_identities(docs), "rows")
+    keyed = _keyed(rows, text_classes(docs))
     found = shared.materialize(keyed.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     return keyed.join(found, "class_key").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class, the one with the smallest id, with all its columns."""
-    kept = _keyed(docs).groupBy("class_key").agg(F.min(F.struct("doc_id", "row_key")).alias("k")).select(F.col("k.row_key").alias("__row_key"))
-    return docs.withColumn("__row_key", F.monotonically_increasing_id()).join(kept, "__row_key", "left_semi").select(*docs.columns)
+    """One row of each class, with all its columns: the one with the smallest id, null ids last, of equal ids any one.
+
+    The rows are numbered in a written table, so lost executors cannot renumber them between the choice and the join.
+    """
+    rows, key = shared.numbered(docs, "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    named = _identities(rows, F.col(key).alias("row_key"))
+    kept = _keyed(named, text_classes(rows)).groupBy("class_key").agg(first.alias("k")).select(F.col("k.row_key").alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)

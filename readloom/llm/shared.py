@@ -46,9 +46,33 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    return fs.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that `df` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def numbered(docs: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """`docs` with a number a row, written once so that every later read sees the same numbers, and the column's name."""
+    key = free_name(docs, "row_key")
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), what), key
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
