@@ -3,16 +3,19 @@
 A text becomes a stream of token ids with an end id. A rolling hash over eight ids
 cuts the stream at content-defined places, each distinct chunk is stored once under
 the SHA-256 of its bytes, a recipe a document lists its chunks in order, and manifests
-hash documents into blocks, blocks into shards and shards into one root.
+hash documents into blocks, blocks into shards and shards into one root. A document's leaf is
+the hash of its id, start and length with the hash of its chunk names.
 
 Files under `path`: `chunks` (chunk_id, n_ids, payload), `recipes` (shard, pos, doc_id,
-start, n_tokens, chunk_ids, sizes, root) in ascending doc_id order, and `manifest`
-(shard, docs, tokens, root). Payloads are zstd frames of little-endian ids, of two
-bytes where the vocabulary allows it and else four.
+start, n_tokens, chunk_ids, sizes, root) in ascending doc_id order, `manifest` (shard, docs,
+tokens, root) and `root` (shards, docs, tokens, root), one row. Payloads are zstd frames of
+little-endian ids, of two bytes where the vocabulary allows it and else four. Reading
+computes all hashes anew from what is stored and compares them upwards; a recipe or chunk
+that is missing, changed or in another place, and a manifest row likewise, is an error.
 
 Defined cases: null text is empty (its stream is the end id alone); null ids sort first;
 repeated rows each get a recipe, equal ids in order of their content; an empty table
-gives an empty store; other columns are not read.
+gives an empty store; very long texts are encoded whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,10 +99,10 @@ class Encoder:
     pattern is not written out here are encoded whole: those with code points over 255, apostrophes or `<|`.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, definition: bytes):
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(tokenizer_file)
+        self.lib = Tokenizer.from_buffer(definition)
         self.width = np.dtype("<u2" if self.lib.get_vocab_size() < 1 << 16 else "<u4")
         kinds = str(getattr(self.lib.pre_tokenizer, "__getstate__", lambda: b"")())
         self.by_piece = "ByteLevel" in kinds and "add_prefix_space\":false" in kinds and self.lib.normalizer is None
@@ -201,9 +206,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=4)
-def encoder(tokenizer_file: str) -> Encoder:
+def encoder(definition: bytes) -> Encoder:
     """One for each Python worker, so what it has learnt serves the tasks after."""
-    return Encoder(tokenizer_file)
+    return Encoder(definition)
 
 
 @functools.lru_cache(maxsize=1)
@@ -234,14 +239,14 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
-def _encode_batches(tokenizer_file: str, end_id: int, schema: pa.Schema):
+def _encode_batches(definition: Broadcast[bytes], end_id: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         import zstandard
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own, pack = encoder(tokenizer_file), zstandard.ZstdCompressor(level=3)
+        own, pack = encoder(definition.value), zstandard.ZstdCompressor(level=3)
         end = np.array([end_id], own.width).tobytes()
         for batch in batches:
             ids_col, sizes_col, payload_col, totals, roots = [], [], [], [], []
@@ -275,7 +280,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = E
     from pyspark.sql.pandas.types import to_arrow_schema
 
     staging = f"{path}/_staging"
-    docs.select("doc_id", "text").mapInArrow(_encode_batches(tokenizer_file, end_id, to_arrow_schema(schema)), schema).write.option("compression", "none").parquet(f"{staging}/encoded")
+    definition = spark.sparkContext.broadcast(Path(tokenizer_file).read_bytes())  # a file of the driver: a vocabulary's size
+    docs.select("doc_id", "text").mapInArrow(_encode_batches(definition, end_id, to_arrow_schema(schema)), schema).write.option("compression", "none").parquet(f"{staging}/encoded")
     encoded = spark.read.schema(schema).parquet(f"{staging}/encoded")
 
     (encoded.select(F.explode(F.arrays_zip("chunk_ids", "sizes", "payloads")).alias("c"))
@@ -296,13 +302,39 @@ def write_store(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = E
     w = Window.partitionBy("shard").orderBy("doc_id", "root")
     (ordered.join(offset, "shard").withColumn("pos", F.row_number().over(w)).withColumn("start", F.col("before") + F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
         .select("shard", "pos", "doc_id", "start", "n_tokens", "chunk_ids", "sizes", "root").write.parquet(f"{path}/recipes"))
-    recipes = spark.read.parquet(f"{path}/recipes")
-    blocks = recipes.groupBy("shard", F.floor((F.col("pos") - 1) / BLOCK).alias("block")).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("pos", "root"))).alias("r"))
-    blocks = blocks.select("shard", "block", "docs", "tokens", F.sha2(F.array_join(F.transform("r", lambda x: F.hex(x["root"])), ""), 256).alias("root"))
-    blocks.groupBy("shard").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.sort_array(F.collect_list(F.struct("block", "root"))).alias("r")).select("shard", "docs", "tokens", F.sha2(F.array_join(F.transform("r", lambda x: x["root"]), ""), 256).alias("root")).write.parquet(f"{path}/manifest")
+    shards_of(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+    spark.createDataFrame([root_of(spark.read.parquet(f"{path}/manifest"))], ROOT).coalesce(1).write.parquet(f"{path}/root")
     shared.remove(spark, staging)
 
 
+ROOT = "shards int, docs long, tokens long, root string"
+
+
+def shards_of(recipes: DataFrame) -> DataFrame:
+    """(shard, docs, tokens, root) from recipes: leaves in order of their place, hashed by block, and blocks by shard."""
+    leaf = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("start").cast("string"), F.col("n_tokens").cast("string"), F.hex("root")), 256)
+    joined = lambda a: F.sha2(F.array_join(F.transform(F.sort_array(a), lambda x: x["hash"]), ""), 256)
+    blocks = recipes.groupBy("shard", F.floor((F.col("pos") - 1) / BLOCK).alias("block")).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), joined(F.collect_list(F.struct("pos", leaf.alias("hash")))).alias("root"))
+    return blocks.groupBy("shard").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), joined(F.collect_list(F.struct("block", F.col("root").alias("hash")))).alias("root"))
+
+
+def root_of(manifest: DataFrame) -> tuple[int, int, int, str]:
+    """The row over all shards, which are as many as shuffle partitions."""
+    rows = sorted(tuple(r) for r in manifest.select("shard", "docs", "tokens", "root").collect())
+    return len(rows), sum(r[1] for r in rows), sum(r[2] for r in rows), hashlib.sha256("".join(f"{shard}:{docs}:{tokens}:{root};" for shard, docs, tokens, root in rows).encode()).hexdigest()
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raise if recipes, manifest and root differ in anything."""
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    stored = [tuple(r) for r in spark.read.schema(ROOT).parquet(f"{path}/root").collect()]
+    if stored != [root_of(manifest)]:
+        raise ValueError("the manifest does not match the store's root")
+    now, then = ({r["shard"]: tuple(r) for r in df.select("shard", "docs", "tokens", "root").collect()} for df in (shards_of(recipes), manifest))
+    if wrong := sorted(s for s in now.keys() | then.keys() if now.get(s) != then.get(s)):
+        raise ValueError(f"recipes do not match the manifest in shards {wrong[:10]}")
+
+
 # CRC-32 of a concatenation from the CRCs of its parts: multiplication modulo the CRC polynomial.
 _POLY = 0xEDB88320
 
@@ -360,6 +392,8 @@ def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, sizes = [], []
         for parts in batch.column("parts").to_pylist():
+            if any(p["crc"] is None for p in parts):
+                raise ValueError("a chunk of a recipe is missing")
             out.append(crc_join([(p["crc"], 4 * p["n"]) for p in parts]))
             sizes.append(sum(p["n"] for p in parts))
         keep = [batch.column(c) for c in ("doc_id", "start", "n_tokens")]
@@ -371,9 +405,11 @@ def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verify_store(spark: SparkSession, path: str) -> DataFrame:
     """Read a store back: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers).
 
-    Every stored chunk is unpacked where it is read and must hash to its name; its CRC, not its bytes, is
-    joined to the recipes, and the CRCs of a document's chunks give that of the whole.
+    Recipes are held against the manifest and its root first. Every stored chunk is unpacked where it is read and
+    must hash to its name; its CRC, not its bytes, is joined to the recipes, and the CRCs of a document's chunks give
+    that of the whole.
     """
+    check_manifest(spark, path)
     shared.small_batches(spark)
     recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
     sums = chunks.mapInArrow(_check_chunks, "chunk_id binary, crc long, n int")

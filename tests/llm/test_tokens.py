@@ -1,4 +1,6 @@
+import shutil
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from readloom.llm import queries, tokens
 
 @pytest.fixture
 def encoder():
-    return tokens.Encoder(queries.tokenizer_file())
+    return tokens.Encoder(Path(queries.tokenizer_file()).read_bytes())
 
 
 def test_pieces_give_the_library_s_ids(encoder, rng):
@@ -78,6 +80,42 @@ def test_damage_is_seen(spark, tmp_path):
         tokens.verify_store(spark, path).collect()
 
 
+def rewrite(spark, path, df):
+    df = spark.createDataFrame(df.collect(), df.schema)
+    df.write.mode("overwrite").parquet(path)
+
+
+@pytest.mark.parametrize("what", ["recipe file", "chunk file", "manifest row", "manifest", "root", "swapped ids", "swapped places", "start", "length"])
+def test_every_loss_and_change_is_seen(spark, rng, tmp_path, what):
+    path = str(tmp_path / "s")
+    docs = spark.createDataFrame([(i, prose(rng, 40 + i)) for i in range(60)], "doc_id int, text string")
+    assert len(stored(spark, docs, path)) == 60
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
+    swap = lambda c: spark.createDataFrame([{**r.asDict(), c: {7: 8, 8: 7}.get(r.doc_id, None) or r[c]} for r in recipes.collect()], recipes.schema)
+    if what in ("recipe file", "chunk file"):
+        folder = Path(path) / (what.split()[0] + "s")
+        max(folder.glob("part-*.parquet"), key=lambda f: f.stat().st_size).unlink()
+    elif what == "manifest row":
+        rewrite(spark, f"{path}/manifest", manifest.filter(f"shard <> {manifest.first().shard}"))
+    elif what == "manifest":
+        shutil.rmtree(f"{path}/manifest")
+    elif what == "root":
+        rewrite(spark, f"{path}/root", spark.read.parquet(f"{path}/root").selectExpr("shards", "docs + 1 docs", "tokens", "root"))
+    elif what == "swapped ids":
+        rewrite(spark, f"{path}/recipes", swap("doc_id"))
+    elif what == "swapped places":
+        rows = recipes.collect()
+        shard = rows[0].shard
+        p = sorted(r.pos for r in rows if r.shard == shard)
+        rewrite(spark, f"{path}/recipes", recipes.selectExpr("shard", f"case when shard = {shard} and pos = {p[0]} then {p[1]} when shard = {shard} and pos = {p[1]} then {p[0]} else pos end pos", "doc_id", "start", "n_tokens", "chunk_ids", "sizes", "root"))
+    elif what == "start":
+        rewrite(spark, f"{path}/recipes", recipes.selectExpr("shard", "pos", "doc_id", "start + int(doc_id = 9) start", "n_tokens", "chunk_ids", "sizes", "root"))
+    else:
+        rewrite(spark, f"{path}/recipes", recipes.selectExpr("shard", "pos", "doc_id", "start", "n_tokens + int(doc_id = 9) n_tokens", "chunk_ids", "sizes", "root"))
+    with pytest.raises(Exception, match="manifest|recipe|root|infer schema"):
+        tokens.verify_store(spark, path).collect()
+
+
 def test_odd_rows(spark, odd, none, tmp_path):
     got = stored(spark, odd, str(tmp_path / "a"))
     assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 2, 3, 4, 5, 6]
