@@ -11,8 +11,9 @@
 
 Defined cases: null text is empty with 0 tokens; documents without tokens keep rate 1;
 null labels count as no label, repeated ones once each; a domain without labels is
-not predicted; without any labels every posterior is the target's; an empty table gives
-an empty result; other columns are carried by `apply`.
+not predicted; without any labels every posterior is equal over the domains; an empty
+table gives an empty result; very long texts are counted whole; equal posteriors get equal
+rates; other columns are carried by `apply`, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BINS: dict[str, tuple[float, ...]] = {
     "repeats": (0.0, 0.02, 0.1, 0.3, 0.5),
 }
 SMOOTHING, STEPS, TOLERANCE = 1.0, 60, 1e-7
+#: A step that moves rates by less than this, on average over tokens, ends the fit.
+STILL = 1e-7
 #: Weights by domain, as shares of all tokens: documents labelled good (1) and poor (0).
 TARGETS = {"1": 0.94, "0": 0.06}
 
@@ -79,7 +82,7 @@ def _rate(n: Column, p: Column, steps: tuple[tuple[float, ...], ...]) -> Column:
     if not steps:
         return F.lit(1.0)
     dot = lambda g: F.aggregate(F.zip_with(p, g, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    every = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
+    every = F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(x)!r}D" for x in g) + ")" for g in steps) + ")")
     return F.when(n > 0, F.aggregate(every, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))).otherwise(1.0)
 
 
@@ -127,29 +130,35 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total:
     k = len(domains)
     weighed = members.filter("n > 0").groupBy("p").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
     weighed = shared.materialize(weighed, "weights")  # rates depend on p alone: equal posteriors are one row
+    at = lambda i: F.get("p", F.lit(i))
     steps: list[tuple[float, ...]] = []
+    # without a step yet, both tries are the rates of 1
+    tries: list[list[tuple[float, ...]]] = [[], []]
     reached: list[float] = [0.0] * k
     goal: list[float] = []
-    best, scale = math.inf, 1.0
     for _ in range(STEPS):
-        r = _rate(F.lit(1), F.col("p"), tuple(steps))
-        at = lambda i: F.get("p", F.lit(i))
-        live = F.when(F.col("r") > 0, F.col("n")).otherwise(0)
-        sums = weighed.withColumn("r", r).agg(F.sum("n").alias("all"), *[F.sum(F.col("r") * F.col("n") * at(i)).alias(f"t{i}") for i in range(k)], *[F.sum(live * at(i) * at(j)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-        if not sums["all"]:
+        columns = {f"r{c}": _rate(F.lit(1), F.col("p"), (*steps, *new)) for c, new in enumerate(tries)}
+        rated = weighed.withColumns(columns | {"before": _rate(F.lit(1), F.col("p"), tuple(steps))})
+        sums = [F.sum("n").alias("all"), F.sum(F.col("n") * (F.col("r0") - F.col("before")) ** 2).alias("moved"), *[F.sum(F.col("n") * at(i)).alias(f"m{i}") for i in range(k)]]
+        for c in range(len(tries)):
+            live = F.when(F.col(f"r{c}") > 0, F.col("n")).otherwise(0)
+            sums += [F.sum(F.col(f"r{c}") * F.col("n") * at(i)).alias(f"t{c}_{i}") for i in range(k)]
+            sums += [F.sum(live * at(i) * at(j)).alias(f"g{c}_{i}_{j}") for i in range(k) for j in range(i, k)]
+        got = rated.agg(*sums).first()
+        if not got["all"]:
             break
-        tokens = float(total or sums["all"])
-        share = sum(targets.values())
+        tokens, share = float(total or got["all"]), sum(targets.values())
         goal = [tokens * targets[d] / share for d in domains]
-        reached = [sums[f"t{i}"] for i in range(k)]
-        off = [x - y for x, y in zip(reached, goal, strict=True)]
-        size = math.sqrt(sum(x * x for x in off)) / tokens
-        if size < TOLERANCE or abs(best - size) < TOLERANCE * 0.01:
+        offs = [[got[f"t{c}_{i}"] - goal[i] for i in range(k)] for c in range(len(tries))]
+        best = min(range(len(tries)), key=lambda c: (sum(x * x for x in offs[c]), c))
+        steps += tries[best]
+        off, reached = offs[best], [got[f"t{best}_{i}"] for i in range(k)]
+        started = bool(steps)
+        if math.sqrt(sum(x * x for x in off)) < TOLERANCE * tokens or started and math.sqrt(got["moved"] / got["all"]) < STILL:
             break
-        scale = scale / 2 if size > best else scale
-        best = min(best, size)
-        gram = [[sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
-        steps.append(tuple(scale * x for x in _solve(gram, off)))
+        gram = [[got[f"g{best}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
+        most = max(got[f"m{i}"] for i in range(k))
+        tries = [[tuple(x / most for x in off)], [tuple(_solve(gram, off))]]
     return Mixture(domains, prior, table, tuple(steps), tuple(reached), tuple(goal)), members
 
 
@@ -169,5 +178,6 @@ def apply(docs: DataFrame, mixture: Mixture) -> DataFrame:
     """Rows of `docs`, each as often as its rate says; posteriors are computed anew from the text, so no row is shuffled."""
     text = shared.text_of()
     rate = let(features(text), lambda s: let(mixture.posterior(s["bins"]), lambda p: mixture.rate(s["n"], p)))
-    taken = docs.withColumn("__copies", copies(rate, F.col("doc_id"), text)).filter("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    times = shared.free_name(docs, "copies")
+    taken = docs.withColumn(times, copies(rate, F.col("doc_id"), text)).filter(F.col(times) > 0)
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
