@@ -5,11 +5,17 @@ after each word and an end mark; contexts are the bytes before, up to `DEPTH`, n
 across documents.
 
 Learning: counts of all runs of DEPTH + 1 bytes are summed over the training documents and
-give those of every shorter context. A context is a candidate if it holds at least `P_MIN`
-of all positions, which bounds the tree to DEPTH / P_MIN states, and is retained, with its
-suffixes, if its next bytes diverge from its parent's: count times Kullback-Leibler
-divergence of at least `GAIN` nats. Next-byte distributions are smoothed towards the
-parent's, the more so the more different bytes were seen (Witten and Bell). Scoring uses the longest suffix that is a state.
+give those of every shorter context. A context is a candidate if it occurs as often as the
+cube root of all positions (in a small corpus, at `SMALL` of them), so the tree may grow
+with the two-thirds power of the corpus, and is retained, with its suffixes, if its next bytes diverge from its parent's: count times
+Kullback-Leibler divergence of at least `GAIN` nats. Contexts of one byte are always states.
+Next-byte distributions are smoothed towards the parent's, the more so the more different
+bytes were seen (Witten and Bell). Scoring uses the longest suffix that is a state.
+
+A tree of any size is scored in parts of about `MAX_MOVES` (context, byte) pairs, each the
+contexts whose last two bytes lie in a range: a position asks only contexts with its own
+last two bytes, so one part has all that it needs. A part is grown on the driver and sent to
+the executors, which score its positions; the sums of all parts are added up by document.
 
 The unigram base needs the count of every word, which has no bound: words above `HEAVY` of
 all tokens (at most 1 / HEAVY of them) are sent to the executors, and other words of a
@@ -17,17 +23,19 @@ text are joined to the table of counts, so no common word makes a large group.
 
 Defined cases: null text is empty, its only token the end; null ids are kept and count as
 the empty string for the fold; repeated rows count and are scored each; without training
-documents every next byte is equally likely; an empty table gives an empty result; other
-columns are not read. Words are counted by a 64-bit hash.
+documents every next byte is equally likely; an empty table gives an empty result; very long
+texts are read whole; other columns are not read. Words are counted by a 64-bit hash.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +43,11 @@ from readloom.llm import shared, words
 from readloom.llm.words import U64, mix, runs
 
 FOLDS, ALPHA = 10, 0.1
-DEPTH, P_MIN, GAIN, PULL = 6, 5e-6, 5.0, 2.0
+DEPTH, GAIN, PULL = 6, 5.0, 2.0
+#: Share of positions that makes a candidate in a corpus of less than SMALL ** -1.5 of them, about 90 million.
+SMALL = 5e-6
+#: (context, byte) pairs that the driver holds and sends at once.
+MAX_MOVES = 8_000_000
 HEAVY = 2.0**-21
 START, BLANK, END = 0x09, 0x20, 0x0A  # never inside a word
 END_WORD = words.word_hash("\n")
@@ -192,7 +204,7 @@ def grow(candidates: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.n
         own = (count + pull[state] * above) / (n[state] + pull[state])
         gains.append(np.bincount(state, count * np.log(own / above), len(names)))
         tree.levels.append(Level(names, pull / (n + pull), move, own))
-    wanted = [g >= GAIN for g in gains]
+    wanted = [g >= GAIN if d else np.ones(len(g), bool) for d, g in enumerate(gains)]
     for d in range(len(tree.levels) - 1, 0, -1):
         at, found = lookup(tree.levels[d - 1].context, tree.levels[d].context[wanted[d]] & U64((1 << 8 * d) - 1))
         wanted[d - 1][at[found]] = True
@@ -205,12 +217,24 @@ def grow(candidates: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.n
 
 @dataclass
 class Model:
-    tree: Tree
+    candidates: DataFrame  # depth int, context long, byte int, n long
+    root: np.ndarray
+    parts: list[tuple[int, int]]  # ranges of the last two bytes of contexts
     counts: DataFrame  # word long, n long
     heavy: tuple[np.ndarray, np.ndarray]
     tokens: int
     types: int
 
+    def tree(self, part: tuple[int, int]) -> Tree:
+        """The states for positions whose last two bytes are in the range."""
+        rows = self.candidates
+        if len(self.parts) > 1:
+            last = F.col("context").bitwiseAND(0xFFFF)
+            rows = rows.filter((F.col("depth") == 1) | (last >= part[0]) & (last < part[1]))
+        got = rows.toArrow()
+        depth, context, byte, n = (got[c].to_numpy() for c in ("depth", "context", "byte", "n"))
+        return grow([(context[depth == d].view(U64), byte[depth == d].astype(np.int64), n[depth == d]) for d in range(1, DEPTH + 1)], self.root)
+
 
 def fit(train: DataFrame) -> Model:
     """A model of the texts of `train`."""
@@ -223,11 +247,16 @@ def fit(train: DataFrame) -> Model:
     heavy = word.filter((F.col("n") >= HEAVY * total["n"]) & (F.lit(total["n"]) > 0)).toArrow()  # 1 / HEAVY rows at most
     code, n = heavy["word"].to_numpy().view(U64), heavy["n"].to_numpy()
     order = np.argsort(code)
-    return Model(_tree(gram), word, (code[order], n[order]), int(total["n"]), int(total["v"]))
+    return Model(*_candidates(gram), word, (code[order], n[order]), int(total["n"]), int(total["v"]))
+
+
+def least_count(positions: float) -> int:
+    """Sightings that make a context a candidate: the cube root of the positions, in a small corpus a share of them."""
+    return max(2, math.floor(min(SMALL * positions, positions ** (1 / 3)) + 1e-6))
 
 
-def _tree(gram: DataFrame) -> Tree:
-    """Contexts of every depth are sums over the longest; only those with P_MIN of all positions reach the driver."""
+def _candidates(gram: DataFrame) -> tuple[DataFrame, np.ndarray, list[tuple[int, int]]]:
+    """Candidates of every depth, as sums over the longest contexts, the root's probabilities, and the parts of the tree."""
     deepest = gram.select(F.shiftrightunsigned("code", 8).alias("context"), F.col("code").bitwiseAND(255).alias("byte"), "n")
     levels = [deepest]
     for d in range(DEPTH - 1, -1, -1):
@@ -239,22 +268,53 @@ def _tree(gram: DataFrame) -> Tree:
         seen[r["byte"]] += r["n"]
     total = seen.sum()
     root = (seen + 1.0) / (total + 256.0)
-    rows = []
-    for level in levels[-2::-1]:
-        often = level.groupBy("context").agg(F.sum("n").alias("t")).filter(F.col("t") >= P_MIN * float(total)).select("context")
-        got = level.join(often, "context").select("context", "byte", "n").toArrow()
-        context, byte, n = (got[c].to_numpy() for c in ("context", "byte", "n"))
-        rows.append((context.view(U64), byte, n))
-    return grow(rows, root)
+    found = None
+    for depth, level in enumerate(levels[-2::-1], 1):
+        often = level.groupBy("context").agg(F.sum("n").alias("t")).filter(F.col("t") >= least_count(float(total))).select("context")
+        own = level.join(often, "context").select(F.lit(depth).alias("depth"), "context", F.col("byte").cast("int").alias("byte"), "n")
+        found = own if found is None else found.unionByName(own)
+    found = shared.materialize(found, "candidates")
+    return found, root, _parts(found)
+
+
+def _parts(candidates: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of last two bytes with about MAX_MOVES candidates each."""
+    if candidates.count() <= MAX_MOVES:
+        return [(0, 1 << 16)]
+    sizes = np.zeros(1 << 16, np.int64)
+    for r in candidates.filter("depth > 1").groupBy(F.col("context").bitwiseAND(0xFFFF).alias("last")).agg(F.count("*").alias("n")).collect():  # 65,536 rows at most
+        sizes[r["last"]] = r["n"]
+    part = np.cumsum(sizes) // MAX_MOVES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), 1 << 16]
+    return list(zip(edges[:-1], edges[1:], strict=True))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, base_score, score (both log10 of the text's probability)."""
     spark = docs.sparkSession
     shared.small_batches(spark, 2000)
-    sent = spark.sparkContext.broadcast((model.tree, model.heavy))  # both of bounded size
     floor = float(model.tokens + ALPHA * (model.types + 1))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    key = None
+    if len(model.parts) > 1:  # several passes must name rows alike
+        docs, key = shared.numbered(docs.select("doc_id", "text"), "rows")
+    fields = f"doc_id {kind}, uid long, word long, tf long, n_tokens long, n_known long, base double, score double"
+    parts = None
+    for k, part in enumerate(model.parts):
+        sent = spark.sparkContext.broadcast((model.tree(part), model.heavy))  # both of bounded size
+        own = docs.select("doc_id", "text", *([key] if key else [])).mapInArrow(_score(sent, part, k == 0, floor, key), fields)
+        own = own if len(model.parts) == 1 else shared.materialize(own, "scores")
+        parts = own if parts is None else parts.unionByName(own)
+    joined = parts.join(model.counts, "word", "left")
+    c = F.coalesce(F.col("n"), F.lit(0))
+    known = F.when(F.col("tf").isNull(), F.col("n_known")).when(c > 0, F.col("tf")).otherwise(0)
+    base = F.when(F.col("tf").isNull(), F.col("base")).otherwise(F.col("tf") * F.log10((c + ALPHA) / F.lit(floor)))
+    summed = joined.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.sum("score").alias("score"))
+    return summed.drop("uid")
+
+
+def _score(sent: Broadcast, part: tuple[int, int], first_pass: bool, floor: float, key: str | None):
+    """Rows of a pass: each document's sums, and in the first pass its rare words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -265,8 +325,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         end_n = int(heavy_n[end_at[0]]) if end_known[0] else None
         for batch, a, b, w in _rows(batches):
             rows = b - a
-            own = uid + np.arange(rows)
+            own = np.asarray(batch.column(key).slice(a, rows)) if key else uid + np.arange(rows)
             uid += rows
+            code, of = grams(w)
+            if part != (0, 1 << 16):
+                last = (code >> U64(8)) & U64(0xFFFF)
+                mine = (last >= U64(part[0])) & (last < U64(part[1]))
+                code, of = code[mine], of[mine]
+            packed = np.sort((code << U64(64 - 8 * GRAM_BYTES)) | of.astype(U64))
+            first, times = runs(packed)
+            gram = packed[first] >> U64(64 - 8 * GRAM_BYTES)
+            start, many = runs(gram)
+            logs = np.repeat(np.log10(tree.probability(gram[start])), many)
+            total = np.bincount((packed[first] & U64(ROWS - 1)).astype(np.int64), logs * times, rows).astype(float)
+            ids = batch.column("doc_id").slice(a, rows)
+            spread = mix(own.astype(U64)).view(np.int64)
+            if not first_pass:
+                none = np.zeros(rows, np.int64)
+                yield _batch(ids, own, spread, None, none, none, none.astype(float), total)
+                continue
             order = np.argsort(w.hash)
             first, size = runs(w.hash[order])
             at, known = lookup(heavy, w.hash[order[first]])
@@ -281,30 +358,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             rare_row, rare = row[~sure], w.hash[order][~sure]
             if end_n is None:
                 rare_row, rare = np.concatenate([rare_row, np.arange(rows)]), np.concatenate([rare, np.full(rows, END_WORD, U64)])
-            code, of = grams(w)
-            packed = np.sort((code << U64(64 - 8 * GRAM_BYTES)) | of.astype(U64))
-            first, times = runs(packed)
-            gram = packed[first] >> U64(64 - 8 * GRAM_BYTES)
-            start, many = runs(gram)
-            logs = np.repeat(np.log10(tree.probability(gram[start])), many)
-            total = np.bincount((packed[first] & U64(ROWS - 1)).astype(np.int64), logs * times, rows)
-            ids = batch.column("doc_id").slice(a, rows)
-            spread = mix(own.astype(U64)).view(np.int64)
             yield _batch(ids, own, spread, None, w.counts() + 1, n_known, base, total)
             if len(rare):
-                key = np.lexsort((rare, rare_row))
-                first, tf = runs(mix(rare[key]) ^ mix(rare_row[key].astype(U64)))
-                r, h = rare_row[key][first], rare[key][first]
+                by = np.lexsort((rare, rare_row))
+                first, tf = runs(mix(rare[by]) ^ mix(rare_row[by].astype(U64)))
+                r, h = rare_row[by][first], rare[by][first]
                 yield _batch(ids.take(pa.array(r)), own[r], h.view(np.int64), tf, None, None, None, None)
 
-    fields = f"doc_id {kind}, uid long, word long, tf long, n_tokens long, n_known long, base double, score double"
-    parts = docs.select("doc_id", "text").mapInArrow(run, fields)
-    joined = parts.join(model.counts, "word", "left")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    known = F.when(F.col("tf").isNull(), F.col("n_known")).when(c > 0, F.col("tf")).otherwise(0)
-    base = F.when(F.col("tf").isNull(), F.col("base")).otherwise(F.col("tf") * F.log10((c + ALPHA) / F.lit(floor)))
-    summed = joined.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(known).alias("n_known"), F.sum(base).alias("base_score"), F.sum("score").alias("score"))
-    return summed.drop("uid")
+    return run
 
 
 def _batch(ids: pa.Array, uid: np.ndarray, word: np.ndarray, tf: np.ndarray | None, *rest: np.ndarray | None) -> pa.RecordBatch:

@@ -47,7 +47,37 @@ def test_unreachable_targets_are_least_squares(spark, rng):
     out = mixing.rates(members, m).collect()
     assert min(r.rate for r in out) >= 0
     n, p, rate = (np.array([f(r) for r in out]) for f in (lambda r: r.n_tokens, lambda r: (r.p_1, r.p_0), lambda r: r.rate))
-    assert (rate * n) @ p[:, 1] < 0.02 * n.sum()
+    # the optimum of all document rates, by many plain steps
+    goal, r, most = np.array([n.sum(), 0.0]), np.ones(len(n)), (p.T @ n).max()
+    loss = lambda x: (((x * n) @ p - goal) ** 2).sum()
+    for _ in range(20_000):
+        r = np.maximum(0, r - p @ ((r * n) @ p - goal) / most)
+    assert loss(rate) <= 1.001 * loss(r) + 1e-8 * n.sum() ** 2
+
+
+def test_posteriors_are_naive_bayes(spark, rng):
+    rows, docs, labels = mixed(spark, rng)
+    m, members = mixing.fit(docs, labels, {"1": 0.5, "0": 0.5})
+
+    def bins(t):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n, chars, ls = len(ws), len(t), t.split("\n")
+        rate = lambda pattern: len(re.findall(pattern, t)) / max(chars, 1)
+        value = {"tokens": n, "word_length": (chars - n) / max(n, 1), "symbols": rate(r"[#*$%&|<>]"), "digits": rate("[0-9]"), "capitals": rate("[A-Z]"), "stops": rate(r"[.!?]"), "repeats": 1 - len(set(ls)) / len(ls)}
+        return [sum(value[f] > b for b in bounds) for f, bounds in mixing.BINS.items()]
+
+    of = {i: bins(t) for i, t in rows}
+    known = {r.doc_id: r.domain for r in labels.collect()}
+    logs = {}
+    for i, own in of.items():
+        total = []
+        for d in ("1", "0"):
+            mine = [of[k] for k, x in known.items() if x == d]
+            total.append(math.log((len(mine) + 1) / (len(known) + 2)) + sum(math.log((sum(b[f] == v for b in mine) + 1) / (len(mine) + len(bounds) + 1)) for f, (v, bounds) in enumerate(zip(own, mixing.BINS.values(), strict=True))))
+        e = np.exp(np.array(total) - max(total))
+        logs[i] = e / e.sum()
+    for r in mixing.rates(members, m).collect():
+        assert np.allclose([r.p_1, r.p_0], logs[r.doc_id], atol=1e-8)
 
 
 def test_copies_follow_the_rates(spark, rng):
@@ -177,14 +207,14 @@ def brute_score(c, t):
     def p(ctx, b):
         if not ctx:
             return (c[b"", b] + 1) / (every + 256)
-        if totals[ctx] < lm.P_MIN * every or ctx not in nexts:
+        if totals[ctx] < lm.least_count(every) or ctx not in nexts:
             return p(ctx[1:], b)
         pull = lm.PULL * len(nexts[ctx])
         return (c[ctx, b] + pull * p(ctx[1:], b)) / (totals[ctx] + pull)
 
     kept = {b""}
     for ctx in nexts:
-        if ctx and totals[ctx] >= lm.P_MIN * every and sum(n * math.log(p(ctx, b) / p(ctx[1:], b)) for b, n in nexts[ctx].items()) >= lm.GAIN:
+        if ctx and totals[ctx] >= lm.least_count(every) and (len(ctx) == 1 or sum(n * math.log(p(ctx, b) / p(ctx[1:], b)) for b, n in nexts[ctx].items()) >= lm.GAIN):
             kept |= {ctx[k:] for k in range(len(ctx))}
     s = b"\t" * lm.DEPTH + b"".join(w.encode() + b" " for w in tokens_of(t)) + b"\n"
     out = 0.0
@@ -212,6 +242,19 @@ def test_scores_are_those_of_the_definition(spark, rng):
         assert r.score == pytest.approx(brute_score(tree, other[r.doc_id]))
 
 
+def test_a_tree_in_parts_scores_alike(spark, rng, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(rng, rng.randrange(200), 200)) for i in range(40)] + [(7, "Ünd É"), (None, None)], "doc_id bigint, text string")
+    exact = lambda df: sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 8), round(r.score, 8)) for r in df.collect())
+    want = exact(lm.score(docs, lm.fit(docs)))
+    monkeypatch.setattr(lm, "MAX_MOVES", 150)
+    model = lm.fit(docs)
+    assert len(model.parts) > 3 and exact(lm.score(docs, model)) == want
+
+
+def test_candidates_grow_with_the_corpus():
+    assert [lm.least_count(n) for n in (0, 1000, 10**6, 10**9, 10**12)] == [2, 2, 5, 1000, 10_000]
+
+
 def test_next_bytes_sum_to_one(rng):
     data, offsets = words.text_buffers(pa.array([prose(rng, 300, 20) for _ in range(20)]))
     code, _ = lm.grams(words.split(data, offsets, words.NOT_SPACE, lower=True))
