@@ -5,19 +5,23 @@ holds what each (blob, rule, rule version) gave, so a scan reads a blob only for
 versions that the ledger lacks, once however many paths share it; findings are joined
 back to every path. Raise a rule's version when its pattern changes.
 
+A stored ledger is a folder of Parquet: `update` scans what it lacks and appends, `load`
+reads it. Only identities are compared with it; texts are shuffled for unseen blobs alone.
+
 Ledger: blob_id string, results array<struct<kind, version, spans array<struct<start, end>>>>,
 a row for each scan of a blob. Spans are in code points, the end exclusive.
 
 Defined cases: null text is empty; empty texts have no findings; repeated rows share a
-blob and are each reported; null ids are kept; an empty table gives an empty result;
-other columns are not read.
+blob and are each reported; null ids are kept; very long texts are scanned whole; ties of
+place are listed in the order of the rules; an empty table gives an empty result; other
+columns are carried by `findings`, but for blob_id and results, which it replaces.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm import shared
@@ -68,27 +72,49 @@ def blob_id() -> Column:
     return F.sha2(shared.text_of(), 256)
 
 
+def _name(kind: Column | str, version: Column) -> Column:
+    return F.concat_ws("@", kind, version.cast("string"))
+
+
 def scan(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows for the (blob, rule version) pairs of `history` (text) that `ledger` lacks."""
-    blobs = history.select(blob_id().alias("blob_id"), shared.text_of().alias("text")).dropDuplicates(["blob_id"])
-    name = lambda kind, version: F.concat_ws("@", kind, version.cast("string"))
-    if ledger is not None:
-        seen = ledger.select("blob_id", F.explode("results").alias("r")).groupBy("blob_id").agg(F.collect_set(name(F.col("r.kind"), F.col("r.version"))).alias("seen"))
-        blobs = blobs.join(seen, "blob_id", "left")
+    texts = history.select(blob_id().alias("blob_id"), shared.text_of().alias("text"))
+    if ledger is None:
+        blobs = texts.dropDuplicates(["blob_id"]).withColumn("seen", F.array().cast("array<string>"))
     else:
-        blobs = blobs.withColumn("seen", F.lit(None).cast("array<string>"))
-    known = F.coalesce("seen", F.array().cast("array<string>"))
-    asked = blobs.filter(~F.forall(F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules]), lambda k: F.array_contains(known, k)))
-    each = [F.when(~F.array_contains(known, f"{r.kind}@{r.version}"), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r in rules]
-    return asked.select("blob_id", F.filter(F.array(*each), lambda x: x.isNotNull()).cast(RESULTS).alias("results"))
+        done = ledger.select("blob_id", F.explode("results").alias("r")).groupBy("blob_id").agg(F.collect_set(_name(F.col("r.kind"), F.col("r.version"))).alias("seen"))
+        asked = history.select(blob_id().alias("blob_id")).distinct().join(done, "blob_id", "left").select("blob_id", F.coalesce("seen", F.array().cast("array<string>")).alias("seen"))
+        asked = asked.filter(~F.forall(F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules]), lambda k: F.array_contains("seen", k)))
+        # written, so that the join deals out plain tables and Spark may send a small one or split a blob of many rows
+        blobs = texts.join(shared.materialize(asked, "asked"), "blob_id").dropDuplicates(["blob_id"])
+    each = [F.when(~F.array_contains("seen", f"{r.kind}@{r.version}"), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans"))) for r in rules]
+    return blobs.select("blob_id", F.filter(F.array(*each), lambda x: x.isNotNull()).cast(RESULTS).alias("results"))
+
+
+LEDGER = f"blob_id string, results {RESULTS}"
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger stored at `path`, empty if there is none."""
+    return spark.read.schema(LEDGER).parquet(path) if shared.exists(spark, path) else spark.createDataFrame([], LEDGER)
+
+
+def update(history: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> int:
+    """Scan what the ledger stored at `path` lacks of `history` and append it; how many blobs were scanned."""
+    spark = history.sparkSession
+    ledger = load(spark, path) if shared.exists(spark, path) else None
+    before = ledger.count() if ledger is not None else 0
+    scan(history, ledger, rules).write.mode("append").parquet(path)
+    return load(spark, path).count() - before
 
 
 def findings(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`history`, without columns of these names, with blob_id and results: what the ledger holds for its text under `rules`, rules without spans left out."""
     current = F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules])
-    with_spans = lambda x: (F.size(x["spans"]) > 0) & F.array_contains(current, F.concat_ws("@", x["kind"], x["version"].cast("string")))
+    with_spans = lambda x: (F.size(x["spans"]) > 0) & F.array_contains(current, _name(x["kind"], x["version"]))
     found = ledger.select("blob_id", F.filter("results", with_spans).alias("results")).filter(F.size("results") > 0)
-    found = found.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_list("results"))).alias("results"))
+    # written, so that both sides of the join are plain and Spark may split a blob that many rows share
+    found = shared.materialize(found.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_list("results"))).alias("results")), "findings")
     named = history.drop("blob_id", "results").withColumn("blob_id", blob_id())
     return named.join(found, "blob_id", "left").withColumn("results", F.coalesce("results", F.array().cast(RESULTS)))
 
@@ -107,5 +133,3 @@ def digest(found: DataFrame) -> DataFrame:
         return F.array_join(F.transform(F.array_sort(F.concat(*map(placed, kinds))), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(listed(BASE), 256).alias("base_sha256"), listed(tuple(r.kind for r in RULES)).alias("spans"))
-
-
