@@ -1,13 +1,16 @@
 """Quality rules, line first, in DataFrame functions only.
 
-Each line is judged alone: symbols instead of words, navigation bars, boilerplate such as
-license and cookie lines, and lines that repeat an earlier one fail and are removed. A
-document is rejected if the lines removed hold too much of its text, or by the base rules
-(too few words, or too many words in repeated three-word windows).
-
-Defined cases: null text is empty and has no words; empty texts fail the base rules;
+Each line is judged alone. It fails without a mark of punctuation at its end, as menus,
+headings and word lists do; if bars part it into cells of few words (navigation); if it
+matches a boilerplate pattern such as license, copyright and cookie lines; if it has symbols
+instead of words; or if it repeats an earlier line. Failed lines are removed. A document is
+rejected if the lines removed hold too much of its text, or by the base rules (too few
+words, or too many words in repeated three-word windows).
+
+Defined cases: null text is empty and has no words; empty texts fail the base rules; very
+long texts are judged whole; of equal lines the first is judged and the others are removed;
 null ids are kept and repeated rows judged alike; an empty table gives an empty result;
-other columns are not read.
+other columns are carried by `measure` and `clean`, but for those that `measure` adds.
 """
 
 from __future__ import annotations
@@ -21,18 +24,22 @@ from readloom.llm.shared import let
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS, MAX_REPEATED = 50, 50  # words; percent of words in repeated windows
-#: A line fails beyond this share of symbols, from this many bars, and a document beyond this share of removed characters.
-MAX_LINE_SYMBOLS, NAV_BARS, MAX_REMOVED = 0.2, 4, 0.6
-#: Fixed phrases of boilerplate lines, lower case.
+#: A line fails beyond this share of symbols, with cells of so few words, and a document beyond this share of removed characters.
+MAX_LINE_SYMBOLS, NAV_WORDS, MAX_REMOVED = 0.2, 3, 0.5
+#: What a line of prose ends with, closing quotes and brackets included.
+LINE_END = r"""[.!?:;…。！？"'”’»)\]][\x20\x09-\x0D]*\z"""
+#: Patterns of boilerplate lines; a parameter.
 BOILERPLATE = (
-    "all rights reserved",
-    "licensed under",
-    "terms of service",
-    "privacy policy",
-    "accept cookies",
-    "subscribe to our newsletter",
-    "click here",
-    "javascript is disabled",
+    r"(released|licen[sc]ed|distributed|published|available|provided) under (the |a |an )?[^.]{0,60}licen[sc]e",
+    r"licen[sc]ed under",
+    r"all rights reserved",
+    r"(copyright|\(c\)|©) *(\(c\)|©)? *[0-9]{4}",
+    r"terms (of (service|use)|and conditions)",
+    r"privacy policy",
+    r"(accept|use|uses) (all )?cookies",
+    r"(subscribe to|sign up for) (our|the) newsletter",
+    r"click here",
+    r"(enable|requires?) javascript|javascript is (disabled|required)",
 )
 
 
@@ -74,21 +81,19 @@ def repeated_words(ws: Column) -> Column:
     return F.when(F.size(ws) < 4, 0).otherwise(counted)
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, boilerplate: tuple[str, ...] = BOILERPLATE) -> Column:
     """Whether a line with words fails alone."""
-    low = F.lower(line)
     symbols = F.length(line) - F.length(without(line, SYMBOLS))
-    nav = F.length(line) - F.length(F.replace(line, F.lit("|"))) >= NAV_BARS
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | F.contains(low, F.lit(p))
-    return (symbols > MAX_LINE_SYMBOLS * F.length(line)) | nav | phrase
+    bars = F.length(line) - F.length(F.replace(line, F.lit("|")))
+    cells = F.regexp_count(F.replace(line, F.lit("|")), F.lit(WORD)) <= NAV_WORDS * (bars + 1)
+    phrase = line.rlike("(?i)" + "|".join(boilerplate)) if boilerplate else F.lit(False)
+    return ~line.rlike(LINE_END) | (symbols > MAX_LINE_SYMBOLS * F.length(line)) | (F.contains(line, F.lit("|")) & cells) | phrase
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars", "removed_chars", "clean_text")
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, boilerplate: tuple[str, ...] = BOILERPLATE) -> DataFrame:
     """`docs`, without columns of these names, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lines removed and text kept.
 
     Adds also line_chars and removed_chars (characters of lines with words, and of those that failed or repeat)
@@ -100,14 +105,15 @@ def measure(docs: DataFrame) -> DataFrame:
 
     def judge_lines(ls: Column) -> Column:
         first = F.array_distinct(ls)
-        kept = F.filter(first, lambda x: ~line_fails(x))
+        kept = F.filter(first, lambda x: ~line_fails(x, boilerplate))
         total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + F.length(x))
         return F.struct((F.size(ls) - F.size(first)).cast("long").alias("n_dup_lines"), total(ls).alias("line_chars"), total(kept).alias("kept_chars"), F.array_join(kept, "\n").alias("clean_text"))
 
     by_words = let(words(text), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).cast("long").alias("n_repeat_words")))
-    out = docs.withColumn("__w", by_words).withColumn("__l", let(lines, judge_lines))
+    w, l = (shared.free_name(docs, n) for n in ("of_words", "of_lines"))
+    out = docs.withColumn(w, by_words).withColumn(l, let(lines, judge_lines))
     out = out.withColumn("word_chars", F.length(without(text, r"[\x20\x09-\x0D]")).cast("long")).withColumn("n_symbols", (F.length(text) - F.length(without(text, SYMBOLS))).cast("long"))
-    out = out.select(*docs.columns, "word_chars", "n_symbols", "__w.*", "__l.*")
+    out = out.select(*docs.columns, "word_chars", "n_symbols", f"{w}.*", f"{l}.*")
     return out.withColumn("removed_chars", F.col("line_chars") - F.col("kept_chars")).drop("kept_chars")
 
 
