@@ -1,17 +1,22 @@
 """PII by format-preserving Feistel pseudonyms, in DataFrame functions only.
 
 Values are found by pattern and validated (card by Luhn, IBAN by its check digits, IP
-octets, calendar dates, social security ranges; phone numbers have any area and exchange,
-but from 200 on where only blanks part them). A valid value is permuted
+octets, calendar dates written yyyy-mm-dd, yyyy/mm/dd or dd.mm.yyyy, social security ranges;
+phone numbers have any area and exchange, but from 200 on where only blanks part them, or
+a country code and groups of digits). A valid value is permuted
 within its own format by a keyed Feistel network, so equal values get equal pseudonyms in
 every document, different ones stay different, and the result is again a valid value.
 The halves of a network are numbers modulo a and b (any two), so no value leaves its
 domain; letters of mail addresses are shifted within their class by the other half.
 
-The key is a parameter; whoever holds it can undo the permutation. Invalid values are
-left as they are. Defined cases: null text stays null with no findings; empty texts have
-none; null ids are kept; repeated rows get equal results; an empty table gives an empty
-result; other columns are carried by `pseudonymise`.
+The key has no default: whoever holds it can undo the permutation. Invalid values are
+left as they are. A date is the same day's pseudonym in each way of writing.
+
+Defined cases: null text stays null with no findings; empty texts have
+none; null ids are kept; repeated rows get equal results; where patterns overlap the first
+place and then the first kind listed wins; very long texts are read whole; an empty table
+gives an empty result; other columns are carried, but for pii and new_text, which `find`
+replaces.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.llm import shared
 from readloom.llm.shared import let
 
 KINDS = ("email", "ip", "date", "ssn", "iban", "card", "phone")
@@ -26,17 +32,16 @@ KINDS = ("email", "ip", "date", "ssn", "iban", "card", "phone")
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|[0-9]{4}/[0-9]{2}/[0-9]{2}(?![0-9/])|[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9]|\.[0-9]))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])",
-    "phone": r"(?<![0-9(])(?:\+1[ .-]?[0-9]{3}[ .-][0-9]{3}[ .-]|(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]|[0-9]{3}[.-][0-9]{3}[ .-]|[0-9]{3} [0-9]{3}[.-]|[2-9][0-9]{2} [2-9][0-9]{2} ))[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9(+])\+(?:[2-7][0-9]{0,2}|[89][0-9]{1,2})(?:[ .-][0-9]{2,4}){2,5}(?![0-9])|(?<![0-9(])(?:\+1[ .-]?[0-9]{3}[ .-][0-9]{3}[ .-]|(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]|[0-9]{3}[.-][0-9]{3}[ .-]|[0-9]{3} [0-9]{3}[.-]|[2-9][0-9]{2} [2-9][0-9]{2} ))[0-9]{4}(?![0-9])",
 }
 PATTERN = "|".join(PATTERNS.values())
 ROUNDS = 8
 #: Dates from 1900-01-01 that are permuted: 200 times 365 days.
 FIRST_DAY, DATE_HALVES = "1900-01-01", (200, 365)
-DEMO_KEY = "readloom demonstration key"
 
 
 def keyed(key: str, tag: str, turn: Column, value: Column, modulus: int) -> Column:
@@ -80,10 +85,10 @@ def luhn_sum(text: Column) -> Column:
     return F.aggregate(F.split(F.reverse(text), ""), F.struct(F.lit(0).alias("s"), F.lit(False).alias("twice")), step)["s"]
 
 
-def _whole(d: Column, size: int, key: str) -> Column:
+def _whole(d: Column, size: int, key: str, tag: str = "card") -> Column:
     """A permutation of the numbers of `size` digits, leading zeros kept."""
     a, b = size // 2, size - size // 2
-    return let(feistel(number(d, 1, a), number(d, a + 1, b), 10**a, 10**b, key, f"card{size}"), lambda x: F.concat(zeros(x["l"], a), zeros(x["r"], b)))
+    return let(feistel(number(d, 1, a), number(d, a + 1, b), 10**a, 10**b, key, f"{tag}{size}"), lambda x: F.concat(zeros(x["l"], a), zeros(x["r"], b)))
 
 
 def _card(value: Column, key: str) -> Column:
@@ -114,12 +119,18 @@ def _ip(value: Column, key: str) -> Column:
 
 def _date(value: Column, key: str) -> Column:
     a, b = DATE_HALVES
+    dotted, sep = F.substring(value, 3, 1) == ".", F.substring(value, 5, 1)
+    year_first = F.when(dotted, F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2))).otherwise(F.replace(value, F.lit("/"), F.lit("-")))
+
+    def written(day: Column) -> Column:
+        parts = [F.substring(day, 1, 4), F.substring(day, 6, 2), F.substring(day, 9, 2)]
+        return F.when(dotted, F.concat_ws(".", *reversed(parts))).otherwise(F.concat(parts[0], sep, parts[1], sep, parts[2]))
 
     def body(day: Column) -> Column:
         new = feistel(F.floor(day / b), day % b, a, b, key, "date")
-        return F.when((day >= 0) & (day < a * b), let(new, lambda x: F.date_add(F.to_date(F.lit(FIRST_DAY)), (x["l"] * b + x["r"]).cast("int")).cast("string")))
+        return F.when((day >= 0) & (day < a * b), let(let(new, lambda x: F.date_add(F.to_date(F.lit(FIRST_DAY)), (x["l"] * b + x["r"]).cast("int")).cast("string")), written))
 
-    return let(F.datediff(F.try_to_date(value, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(value), F.to_date(F.lit(FIRST_DAY))), body)
+    return let(F.datediff(F.try_to_date(year_first, "yyyy-MM-dd"), F.to_date(F.lit(FIRST_DAY))), body)
 
 
 def _ssn(value: Column, key: str) -> Column:
@@ -147,7 +158,16 @@ def _phone(value: Column, key: str) -> Column:
 
         return let(F.when(F.length(d) == 11, F.substring(d, 2, 10)).otherwise(d), lambda t: F.concat(F.when(F.length(d) == 11, F.lit("1")).otherwise(F.lit("")), ten(t)))
 
-    return refill(value, let(digits(value), body))
+    def abroad(d: Column) -> Column:
+        """The digits behind the country code, permuted among those of their number."""
+        out = F.lit(None).cast("string")
+        for size in range(4, 21):
+            out = F.when(F.length(d) == size, _whole(d, size, key, "phone abroad")).otherwise(out)
+        return out
+
+    code = F.regexp_extract(value, r"^(\+[0-9]+)[ .-]", 1)
+    rest = F.substr(value, F.length(code) + 1, F.length(value))
+    return F.when((code != "") & (code != "+1"), F.concat(code, refill(rest, let(digits(rest), abroad)))).otherwise(refill(value, let(digits(value), body)))
 
 
 def _shift(text: Column, other: Column, key: str, tag: str, turn: Column) -> Column:
@@ -209,7 +229,7 @@ def pseudonym(value: Column, key: str) -> Column:
     return let(kind, lambda k: let(pick(k), lambda n: F.struct(F.when(n.isNotNull(), k).alias("kind"), F.coalesce(n, value).alias("new"))))
 
 
-def find(docs: DataFrame, key: str = DEMO_KEY, column: str = "text") -> DataFrame:
+def find(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """`docs`, without columns of these names, with `pii` (array<struct<kind, start, end, new>>, valid values only) and `new_text`.
 
     start and end are code points of the original, the end exclusive.
@@ -234,10 +254,11 @@ def find(docs: DataFrame, key: str = DEMO_KEY, column: str = "text") -> DataFram
     none = F.array().cast("array<struct<kind:string,start:int,end:int,new:string>>")
     items = F.transform(hits, lambda m: let(pseudonym(m, key), lambda p: F.struct(m.alias("old"), p["kind"].alias("kind"), p["new"].alias("new"))))
     done = F.when(text.rlike(PATTERN), let(items, body)).otherwise(F.struct(none.alias("pii"), text.alias("new_text")))
-    return docs.withColumn("__p", done).select(*docs.columns, "__p.pii", "__p.new_text")
+    name = shared.free_name(docs, "found")
+    return docs.withColumn(name, done).select(*docs.columns, f"{name}.pii", f"{name}.new_text")
 
 
-def pseudonymise(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """`docs` with the values in `text` replaced."""
     done = find(docs.select(F.struct(*docs.columns).alias("__row"), "text"), key)
     return done.select(*[F.col("new_text").alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
