@@ -21,7 +21,9 @@ to the classes' true shares. The neighbours are the evidence.
 Defined cases: null text is empty; a text without any term of an example gets the
 share of toxic ones among examples outside the feature space; null labels count as none and repeated ones as toxic if any is; with no labels of
 a class all scores are the other's; null ids are kept, repeated rows scored alike; an
-empty table gives an empty result; labels, languages and ids are no inputs of a score.
+empty table gives an empty result; very long texts are read whole; ties of similarity go to
+the earlier example; other columns are carried as `keep` says. Labels, languages and ids are
+no inputs of a score; an example's id only keeps it from being its own neighbour.
 """
 
 from __future__ import annotations
@@ -216,12 +218,12 @@ class Index:
         w = similarity.astype(float) ** POWER
         return float((w * self.label[at]).sum() / (w.sum() + ABSENT)) if len(at) else -1.0
 
-    def outside(self, term: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    def outside(self, term: np.ndarray, count: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """(score, examples, similarities) of a text without terms of the vocabulary, given by all its terms."""
         w = self.whole
         if w is None or w.curve is None or not len(term):
             return self.score(-1.0), np.zeros(0, np.int64), np.zeros(0)
-        at, similarity = w.nearest(*w.vector(term, count), NEIGHBOURS)
+        at, similarity = w.nearest(*w.vector(term, count), NEIGHBOURS, skip)
         return self.chance(self.vote(at, similarity), w.curve) if len(at) else self.score(-1.0), at, similarity
 
     def score(self, vote: float) -> float:
@@ -375,8 +377,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index
 EVIDENCE = "array<struct<example:string,toxic:int,similarity:float>>"
 
 
-def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), evidence: bool = True, names: tuple[str, str] = ("score", "evidence")) -> DataFrame:
-    """Columns `keep` of every row of `docs` (text), its score in [0, 1] and its nearest examples, called `names`."""
+def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), evidence: bool = True, names: tuple[str, str] = ("score", "evidence"), own: str | None = None) -> DataFrame:
+    """Columns `keep` of every row of `docs` (text), its score in [0, 1] and its nearest examples, called `names`, which must not be in `keep`.
+
+    `own` names the column of ids: a row that is an example is not its own neighbour, so its label is no input of its score.
+    """
+    if clash := set(map(str.lower, names)) & set(map(str.lower, keep)):
+        raise ValueError(f"columns {sorted(clash)} are there already: give other names")
     spark = docs.sparkSession
     shared.small_batches(spark)
     sent = spark.sparkContext.broadcast(index)  # bounded by the sample
@@ -384,7 +391,9 @@ def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), ev
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
+        place = {x: i for i, x in enumerate(index.ids.tolist())} if own else {}
         for batch in batches:
+            skips = [place.get(x, -1) for x in batch.column(own).cast(pa.string()).to_pylist()] if own else [-1] * batch.num_rows
             data, offsets = words.text_buffers(batch.column("text"))
             scores, shown = [], []
             for a, b in words.slices(offsets):
@@ -396,18 +405,18 @@ def score(docs: DataFrame, index: Index, keep: tuple[str, ...] = ("doc_id",), ev
                 bounds_o = dict(zip(outside.tolist(), np.searchsorted(row_o, [np.arange(len(outside)), np.arange(1, len(outside) + 1)]).T.tolist(), strict=True))
                 for i in range(b - a):
                     if i in bounds_o:
-                        own = slice(*bounds_o[i])
-                        value, at, similarity = index.outside(term_o[own], count_o[own])
+                        part = slice(*bounds_o[i])
+                        value, at, similarity = index.outside(term_o[part], count_o[part], skips[a + i])
                         scores.append(value)
                         shown.append([{"example": index.ids[x], "toxic": int(index.label[x]), "similarity": float(s)} for x, s in zip(at, similarity, strict=True)] if evidence else [])
                         continue
-                    own = slice(bounds[i], bounds[i + 1])
-                    at, similarity = index.nearest(term[own], index.weights(term[own], count[own]), NEIGHBOURS) if bounds[i] < bounds[i + 1] and index.local else (np.zeros(0, np.int64), np.zeros(0))
+                    part = slice(bounds[i], bounds[i + 1])
+                    at, similarity = index.nearest(term[part], index.weights(term[part], count[part]), NEIGHBOURS, skips[a + i]) if bounds[i] < bounds[i + 1] and index.local else (np.zeros(0, np.int64), np.zeros(0))
                     scores.append(index.score(index.vote(at, similarity)))
                     shown.append([{"example": index.ids[x], "toxic": int(index.label[x]), "similarity": float(s)} for x, s in zip(at, similarity, strict=True)] if evidence else [])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(scores, pa.float64()), pa.array(shown, evidence_type)], [*keep, *names])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    taken = docs.select(*dict.fromkeys((*keep, "text")))
+    taken = docs.select(*dict.fromkeys((*keep, "text", *([own] if own else []))))
     out = taken.mapInArrow(run, f"{fields}, {names[0]} double, {names[1]} {EVIDENCE}")
     return out if evidence else out.drop(names[1])
