@@ -22,7 +22,8 @@ the sum of the larger counts, is at least 0.8; classes are connected by links.
 
 Defined cases: null text is empty; a text without words is a class of its own; equal
 texts are one class; null ids are kept, and class_id is the smallest id that is not
-null; an empty table gives an empty result.
+null; very long texts are read whole; a similarity of exactly 0.8 is a link; an empty table
+gives an empty result; `keep_one` carries other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from readloom.llm.words import U64, mix, runs
 WIDTH, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Least equal bytes of two sketches, and members in a block of a bucket on average.
-AGREE, BLOCK = 126, 256
+AGREE, BLOCK = 126, 1024
 _STEP, _LEVEL, _ROW = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB), U64(0x8EBC6AF09C88C6E3)
 
 

@@ -99,3 +99,27 @@ def test_components(spark, edges):
             changed |= root[a] != m or root[b] != m
             root[a] = root[b] = m
     assert got == root
+
+
+def test_no_planted_link_is_missed(rng):
+    """Pairs by similarity: what share meets in a band, and passes the sketch."""
+    pairs = []
+    for _ in range(1500):
+        n = rng.randrange(60, 400)
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randrange(0, max(1, n // 30))):
+            b[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+        pairs.append((" ".join(a), " ".join(b)))
+    sides = []
+    for k in (0, 1):
+        w = words.split(*words.text_buffers(pa.array([p[k] for p in pairs])), words.NOT_SPACE, lower=False)
+        row, h, count = minhash.multiset(*words.shingles(w, minhash.WIDTH))
+        sides.append(minhash.signatures(row, h, count, len(pairs)))
+    similar = minhash.overlap(*(x for k in (0, 1) for x in words.text_buffers(pa.array([p[k] for p in pairs]))))
+    meets = (minhash.band_keys(sides[0]) == minhash.band_keys(sides[1])).any(1)
+    agree = (sides[0] == sides[1]).sum(1)
+    linked = similar >= minhash.THRESHOLD
+    assert linked.sum() > 1000 and (similar[linked] < 0.9).sum() > 200
+    assert meets[linked].all() and (agree[linked] >= minhash.AGREE).all()
+    assert abs(agree.mean() / sides[0].shape[1] - similar.mean()) < 0.01  # unbiased
