@@ -81,7 +81,7 @@ def parser() -> argparse.ArgumentParser:
         elif name == "sniff-adapters":
             p.add_argument("--sample", type=int, default=262_144)
             p.add_argument("--top", type=int, default=5)
-            p.add_argument("--catalogue", default=str(catalogue.DEFAULT))
+            p.add_argument("--catalogue", help="CSV (name, r1, r2) or FASTA instead of the known sequences")
             p.add_argument("--format", choices=("json", "tsv"), default="json")
             p.add_argument("--emit-config")
             p.add_argument("--require-confident", action="store_true")

@@ -6,6 +6,7 @@ start -1 means no match. Ties are decided by the keys that each docstring lists,
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -77,6 +78,8 @@ def three_prime(m: np.ndarray, length: np.ndarray, patterns: list[str], params:
     if params.allow_indels:
         return three_prime_indels(m, length, patterns, params)
     n = len(length)
+    if len(patterns) >= INDEXED and (index := seed_index(tuple(patterns), params)):
+        return index.search(m, length)
     out = Hits.none(n)
     rows = np.arange(n)
     for k, sequence in enumerate(patterns):
@@ -100,6 +103,96 @@ def block_size(pattern_length: int, params: MatchParams) -> int:
     return 0
 
 
+#: From so many patterns on, starts are proposed by an index of their blocks.
+INDEXED = 6
+#: Proposed starts that are compared at once.
+PROPOSALS = 400_000
+_CODE = np.full(256, 4, np.uint8)
+_CODE[list(b"ACGT")] = range(4)
+
+
+@dataclass(frozen=True)
+class SeedIndex:
+    """Blocks of patterns by their code: any accepted match has a block without error at its place, so every match is
+    proposed by the code of some place of the read. Blocks with other letters than ACGT equal nothing and need no entry."""
+
+    block: int
+    begins: np.ndarray  # of each code's entries
+    which: np.ndarray
+    offset: np.ndarray
+    patterns: np.ndarray  # [patterns, longest], padded with 255
+    size: np.ndarray
+    params: MatchParams
+
+    def search(self, m: np.ndarray, length: np.ndarray) -> Hits:
+        """What three_prime() gives for all patterns."""
+        out = Hits.none(len(length))
+        width, b = m.shape[1], self.block
+        if width < b:
+            return out
+        codes = np.zeros((len(m), width - b + 1), np.int32)
+        bad = np.zeros(codes.shape, bool)
+        base = _CODE[m]
+        for j in range(b):
+            part = base[:, j : j + codes.shape[1]]
+            codes = codes << 2 | (part & 3)
+            bad |= part == 4
+        bad |= np.arange(codes.shape[1]) + b > length[:, None]
+        n = np.where(bad, 0, np.diff(self.begins)[codes])
+        ends = np.cumsum(n.sum(1))
+        at = 0
+        while at < len(m):
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + PROPOSALS, side="right")))
+            self._best(out, m, length, codes, n, at, end)
+            at = end
+        return out
+
+    def _best(self, out: Hits, m: np.ndarray, length: np.ndarray, codes: np.ndarray, n: np.ndarray, at: int, end: int) -> None:
+        row, place = np.nonzero(n[at:end])
+        row += at
+        times = n[row, place]
+        entry = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times) + np.repeat(self.begins[codes[row, place]], times)
+        row, place = np.repeat(row, times), np.repeat(place, times)
+        which, start = self.which[entry], place - self.offset[entry]
+        overlap = np.minimum(self.size[which], length[row] - start)
+        fits = (start >= 0) & (overlap >= self.params.min_overlap)
+        row, start, which, overlap = (x[fits] for x in (row, start, which, overlap))
+        limit = self.params.limit(overlap)
+        errors = np.zeros(len(row), np.int32)
+        live = np.arange(len(row))
+        for j in range(self.patterns.shape[1]):
+            live = live[(overlap[live] > j) & (errors[live] <= limit[live])]
+            if not len(live):
+                break
+            errors[live] += m[row[live], start[live] + j] != self.patterns[which[live], j]
+        ok = errors <= limit
+        row, start, errors, overlap, which = (x[ok] for x in (row, start, errors, overlap, which))
+        order = np.lexsort((which, -overlap, errors, start, row))
+        first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(order) else order
+        out.put(row[first], start[first], errors[first], overlap[first], overlap[first], which[first])
+
+
+@functools.lru_cache(maxsize=16)
+def seed_index(patterns: tuple[str, ...], params: MatchParams) -> SeedIndex | None:
+    """An index of `patterns`, or none where the error rate leaves no block of four bases free of errors for sure."""
+    block = min((block_size(len(x), params) for x in patterns if len(x) >= params.min_overlap), default=0)
+    if block < 4:
+        return None
+    rows = [pattern(x) for x in patterns]
+    found = []
+    for k, a in enumerate(rows):
+        for offset in range(0, len(a) - block + 1, block):
+            part = _CODE[a[offset : offset + block]]
+            if (part < 4).all():
+                found.append((int(part.astype(np.int64) @ 4 ** np.arange(block - 1, -1, -1)), k, offset))
+    codes, which, offsets = np.array(sorted(found), np.int64).reshape(-1, 3).T
+    wide = np.full((len(rows), max(map(len, rows))), 255, np.uint8)
+    for k, a in enumerate(rows):
+        wide[k, : len(a)] = a
+    return SeedIndex(block, np.searchsorted(codes, np.arange(4**block + 1)), which, offsets, wide, np.array([len(a) for a in rows]), params)
+
+
 def _candidates(m: np.ndarray, length: np.ndarray, a: np.ndarray, params: MatchParams, band: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, start) pairs that can match: an error-free block of the pattern stands near its place."""
     width = m.shape[1]

@@ -439,10 +439,18 @@ class AdapterReport:
 
 
 def sniff(reads: DataFrame, library: list[Entry], params: SniffParams = SniffParams()) -> AdapterReport:
-    """The whole query; the sample is read from its source in each pass, with only the columns that it needs."""
+    """The whole query: the sample is read from its source once, with only the columns that it needs, for all passes."""
     params.validate()
     has = Presence.of(reads)
-    rows = sampling.sample(reads, params.sample)
+    # read once: the sample has a bounded number of rows, and all passes share it
+    rows = sampling.sample(reads.select("record_index", *[f"r{m}_seq" for m in has.mates]), params.sample).persist()
+    try:
+        return _sniff(rows, has, library, params)
+    finally:
+        rows.unpersist()
+
+
+def _sniff(rows: DataFrame, has: Presence, library: list[Entry], params: SniffParams) -> AdapterReport:
     mates = by_mate(rows)
     names = [f"R{m}" for m in has.mates]
     sequences = {m: [e.sequence_of(m) for e in library] for m in names}

@@ -21,7 +21,7 @@ def ensure(spark: SparkSession) -> None:
     target = os.path.join(tempfile.mkdtemp(prefix="readloom-code-"), "readloom.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*")):
-            if p.suffix in (".py", ".csv"):
+            if p.suffix == ".py":
                 z.write(p, Path("readloom") / p.relative_to(root))
     context.addPyFile(target)
     _SENT.add(context.applicationId)

@@ -1,4 +1,4 @@
-"""Adapters by name: a catalogue file, FASTA, and categories."""
+"""Adapters by name: the known ones, catalogue files, FASTA, and categories."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from readloom.plans.config import Adapter, check
-
-DEFAULT = Path(__file__).parent.parent / "data" / "adapters.csv"
+from readloom.sources import known
 
 
 @dataclass(frozen=True)
@@ -27,8 +26,12 @@ class Entry:
         return "control" if "phix" in low else "primer" if "primer" in low else "adapter"
 
 
-def load(path: str | Path = DEFAULT) -> list[Entry]:
-    """name, r1 and r2 (may be empty) of each line."""
+def load(path: str | Path | None = None) -> list[Entry]:
+    """The known sequences, or those of a file: name, r1 and r2 (may be empty) of each line, or FASTA."""
+    if path is None:
+        return [Entry(*row) for row in known.entries()]
+    if Path(path).suffix in (".fa", ".fasta"):
+        return [Entry(a.name, a.sequence) for a in read_fasta(path)]
     with open(path, newline="") as f:
         rows = list(csv.DictReader(f))
     return [Entry(r["name"], Adapter.of(r["name"], r["r1"]).sequence, Adapter.of(r["name"], r["r2"]).sequence if r.get("r2") else None) for r in rows]

@@ -9,6 +9,7 @@ import pytest
 from readloom.kernels import bytes as kb
 from readloom.kernels import match as km
 from readloom.kernels.match import Linked, LinkedParams, MatchParams
+from readloom.sources import known
 
 A33 = "AGATCGGAAGAGCACACGTCTGAACTCCAGTCA"
 INF = 10**6
@@ -144,3 +145,30 @@ def test_linked_flanks():
     assert label(km.linked(m, n, [], MatchParams(), LinkedParams())) == ["neither"] * len(reads)
     longer = km.linked(m, n, [Linked(five, three), Linked(five, "GGGTTTCCCAAAT")], MatchParams(), LinkedParams(require="either"))
     assert longer.which[0] == 0 and longer.which[2] == 0
+
+
+def test_the_index_loses_no_match(monkeypatch):
+    rng = np.random.default_rng(5)
+    library = [seq for _, seq, _ in known.entries()]
+    letters = lambda n: "".join(rng.choice(list("ACGTN"), n, p=[0.24, 0.24, 0.24, 0.24, 0.04]))
+    texts = []
+    for i in range(600):
+        a = list(library[rng.integers(len(library))])
+        for _ in range(rng.integers(0, 6)):
+            a[rng.integers(len(a))] = "ACGT"[rng.integers(4)]
+        x = letters(rng.integers(0, 90)) + "".join(a)
+        texts.append(x[: rng.integers(0, 130)] if i % 3 else letters(rng.integers(0, 20)))
+    m, length = kb.matrix(pa.array(texts))
+    for params in (km.MatchParams(), km.MatchParams(min_overlap=5), km.MatchParams(max_error_rate=0.15), km.MatchParams(max_errors=1), km.MatchParams(min_overlap=12, max_error_rate=0.05)):
+        for patterns in (library, ["ACGTNACGTTTG", *library[:9], "ACG"]):
+            assert km.seed_index(tuple(patterns), params) is not None
+            for size in (1000, 400_000):
+                monkeypatch.setattr(km, "PROPOSALS", size)
+                fast = km.three_prime(m, length, patterns, params)
+            monkeypatch.setattr(km, "INDEXED", 10**9)
+            slow = km.three_prime(m, length, patterns, params)
+            monkeypatch.setattr(km, "INDEXED", 6)
+            assert (slow.start >= 0).sum() > 50
+            for name in ("start", "errors", "overlap", "consumed", "which"):
+                assert (getattr(fast, name) == getattr(slow, name)).all(), (name, params)
+    assert km.seed_index(tuple(library), km.MatchParams(max_error_rate=0.4)) is None

@@ -195,7 +195,12 @@ def test_strand_layers():
 def test_the_catalogue_and_fasta(tmp_path):
     entries = catalogue.load()
     assert entries[0].sequence_of("R2") == px.TRUSEQ_R2 and entries[1].sequence_of("R2") == entries[1].r1
-    assert {e.category for e in entries} == {"adapter", "primer"}
+    assert {e.category for e in entries} == {"adapter", "primer", "control"}
+    assert len(entries) == 234 == len({e.name for e in entries})
+    assert [e.name for e in entries[:3]] == ["illumina-truseq", "nextera", "small-rna"] and entries[-1].name == "qiaseq-mirna"
+    csv = tmp_path / "own.csv"
+    csv.write_text("name,r1,r2\none,ACGT,\ntwo,GGGG,CCCC\n")
+    assert [(e.name, e.sequence_of("R2")) for e in catalogue.load(csv)] == [("one", "ACGT"), ("two", "CCCC")]
     f = tmp_path / "a.fa"
     f.write_text(">one first\r\nACGT\r\n\r\nacgt\n>two\nTTTT\n")
     assert [(a.name, a.sequence) for a in catalogue.read_fasta(f)] == [("one", "ACGTACGT"), ("two", "TTTT")]
