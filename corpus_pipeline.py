@@ -1,8 +1,9 @@
 """A training corpus from `documents`, in five stages, each one of the operators of readloom.llm.
 
 toxicity: documents that score 0.5 or more go. near_dedup: one document of each class of near
-duplicates stays, the one with the smallest id. decontaminate: documents with benchmark
-passages in at least a twentieth of their words go. mix: documents are repeated or left
+duplicates stays, the one with the smallest id. decontaminate: documents that hold a whole
+benchmark window anywhere go, however long they are, and so do those with shorter items in at
+least a twentieth of their words. mix: documents are repeated or left
 out by their rates, so that good and poor tokens meet their target shares. tokens: what
 is left goes to a token store, and the result is read back from it.
 
@@ -24,8 +25,9 @@ ORACLE_SQL = None
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = queries.toxicity_index(docs, queries.table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, index, tuple(docs.columns), evidence=False, names=("__score", "__evidence"))
-    return scored.filter("__score < 0.5").select(*docs.columns)
+    names = tuple(shared.free_name(docs, n) for n in ("score", "evidence"))
+    scored = toxicity.score(docs, index, tuple(docs.columns), evidence=False, names=names)
+    return scored.filter(F.col(names[0]) < 0.5).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +35,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("__row_key", F.monotonically_increasing_id())
-    found = decontam.find_benchmark(keyed, queries.table(spark, sf_dir, "benchmark"), id_name="__row_key")
-    return keyed.join(found.filter(decontam.contaminated()).select("__row_key"), "__row_key", "left_anti").select(*docs.columns)
+    return decontam.drop_leaks(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
