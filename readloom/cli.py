@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
 from dataclasses import fields
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from readloom import reporting, sinks
 from readloom.kernels.match import LinkedParams, MatchParams
@@ -48,7 +49,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--report-format", choices=("json", "tsv"), default="json")
         p.add_argument("-q", "--quiet", action="store_true")
         p.add_argument("--compression", default="zstd")
+        p.add_argument("--compression-level", type=int)
         p.add_argument("--block-size", type=int)
+        p.add_argument("--unsorted", action="store_true", help="leave records as tasks give them")
         if name in COMMANDS:
             p.add_argument("--config")
             p.add_argument("--steps", help="stages to run, comma-separated")
@@ -82,14 +85,16 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--sample", type=int, default=262_144)
             p.add_argument("--top", type=int, default=5)
             p.add_argument("--catalogue", help="CSV (name, r1, r2) or FASTA instead of the known sequences")
-            p.add_argument("--format", choices=("json", "tsv"), default="json")
+            p.add_argument("--format", choices=("json", "tsv", "text"), default="json")
             p.add_argument("--emit-config")
             p.add_argument("--require-confident", action="store_true")
             _add(p, "match", MatchParams)
         elif name == "sniff-strand":
-            p.add_argument("--transcriptome", required=True)
+            p.add_argument("--transcriptome", help="FASTA or a table")
+            p.add_argument("--decoys", help="a text file of names of decoys")
+            p.add_argument("--index", help="a stored index; made there first if a transcriptome is given too")
             p.add_argument("--sample", type=int, default=262_144)
-            p.add_argument("--format", choices=("json", "tsv"), default="json")
+            p.add_argument("--format", choices=("json", "tsv", "text"), default="json")
             _add(p, "strand", strand.StrandParams)
     return top
 
@@ -161,40 +166,68 @@ def _run_stages(spark: SparkSession, args: argparse.Namespace) -> None:
         raise ValueError("the orphan policy needs --orphan-prefix")
     if args.correction_log and plan.correction is None:
         raise ValueError("--correction-log needs the correction stage")
+    paths = [args.output, args.failed, *([f"{args.orphan_prefix}.R{m}" for m in (1, 2)] if plan.pair_policy == "orphan" else []), args.failed_reasons, args.correction_log, args.report]
+    sinks.reserve(spark, [args.input], [p for p in paths if p], args.force)
+    began = time.monotonic()
+
+    def finish(result: DataFrame) -> None:
+        out = {args.output: outputs.accepted(result)}
+        if args.failed:
+            out[args.failed] = outputs.failed(result, args.failed_mode)
+        if plan.pair_policy == "orphan":
+            out |= {f"{args.orphan_prefix}.R{m}": outputs.orphans(result, m) for m in (1, 2)}
+        if args.failed_reasons:
+            out[args.failed_reasons] = outputs.reason_rows(result, names)
+        if args.correction_log:
+            out[args.correction_log] = outputs.correction_bases(result) if args.correction_log_detail == "bases" else outputs.correction_reads(result)
+        for path, df in out.items():
+            _publish(df, path, args, ("record_index", "mate", "read_position"))
+        if args.report or not args.quiet:
+            found = reporting.run_report(result, plan, [args.input], {str(i): p for i, p in enumerate(out)}, time.monotonic() - began)
+            if args.report:
+                _emit(spark, args, found, args.report)
+            if not args.quiet:
+                print(reporting.summary(found), file=sys.stderr)
+
     result = workflow.run(reads, plan)
-    out = {args.output: outputs.accepted(result)}
-    if args.failed:
-        out[args.failed] = outputs.failed(result, args.failed_mode)
-    if plan.pair_policy == "orphan":
-        out |= {f"{args.orphan_prefix}.R{m}": outputs.orphans(result, m) for m in (1, 2)}
-    if args.failed_reasons:
-        out[args.failed_reasons] = outputs.reason_rows(result, names)
-    if args.correction_log:
-        out[args.correction_log] = outputs.correction_bases(result) if args.correction_log_detail == "bases" else outputs.correction_reads(result)
-    sinks.reserve(spark, [args.input], [*out, *([args.report] if args.report else [])], args.force)
-    for path, df in out.items():
-        sinks.publish(df, path, args.force, order=("record_index", "mate", "read_position"), codec=args.compression, block_bytes=args.block_size)
-    if args.report or not args.quiet:
-        found = reporting.run_report(result, plan, [args.input], {str(i): p for i, p in enumerate(out)})
-        if args.report:
-            _emit(spark, args, found, args.report)
-        if not args.quiet:
-            print(reporting.summary(found), file=sys.stderr)
+    if args.quiet and args.unsorted and not any(paths[1:]):  # one table and no order: nothing is evaluated twice
+        finish(result)
+    else:
+        with sinks.staged(result, args.output) as facts:
+            finish(facts)
+
+
+def _publish(df: DataFrame, path: str, args: argparse.Namespace, order: tuple[str, ...] = ("record_index",)) -> None:
+    sinks.publish(df, path, args.force, () if args.unsorted else order, args.compression, args.block_size, args.compression_level)
 
 
 def _run_segment(spark: SparkSession, args: argparse.Namespace) -> None:
     trim, keep = _fields(args, "trim"), _fields(args, "filter")
     plan = SegmentPlan(tuple(Adapter.of(f"delimiter_{i}", d) for i, d in enumerate(args.delimiter)), MatchParams(**_fields(args, "match")), SegmentParams(**_fields(args, "segment")), TrimParams(**trim) if trim else None, FilterParams(**keep) if keep else None)
     reads = source.read(spark, args.input, *_span(args))
-    result = segment.run(reads, plan)
     if "r1_header" not in reads.columns and not args.segments:
         raise ValueError("reads without headers need --segments")
-    out = {args.output: segment.passed(result)} | ({args.segments: segment.sidecar(result)} if args.segments else {}) | ({args.failed_reasons: segment.reason_rows(result)} if args.failed_reasons else {})
-    sinks.reserve(spark, [args.input], list(out), args.force)
-    for path, df in out.items():
-        sinks.publish(df, path, args.force, order=("record_index", "source_record_index", "segment_index", "mate"), codec=args.compression, block_bytes=args.block_size)
-    if args.report:
-        _emit(spark, args, {"counts": sinks.rows(segment.stats(result))[0], "per_source": sinks.rows(segment.per_source(result)), "hits": sinks.rows(segment.delimiter_hits(result, plan))}, args.report)
+    sinks.reserve(spark, [args.input], [p for p in (args.output, args.segments, args.failed_reasons, args.report) if p], args.force)
+    with sinks.staged(segment.run(reads, plan), args.output) as result:
+        out = {args.output: segment.passed(result)} | ({args.segments: segment.sidecar(result)} if args.segments else {}) | ({args.failed_reasons: segment.reason_rows(result)} if args.failed_reasons else {})
+        for path, df in out.items():
+            _publish(df, path, args, ("record_index", "source_record_index", "segment_index", "mate"))
+        if args.report:
+            _emit(spark, args, {"counts": sinks.rows(segment.stats(result))[0], "per_source": sinks.rows(segment.per_source(result)), "hits": sinks.rows(segment.delimiter_hits(result, plan))}, args.report)
+
+
+def _sniff_strand(spark: SparkSession, args: argparse.Namespace) -> None:
+    params = strand.StrandParams(**_fields(args, "strand")).validate()
+    if not (args.transcriptome or args.index):
+        raise ValueError("sniff-strand needs --transcriptome or --index")
+    made = strand.read_transcripts(spark, args.transcriptome, args.decoys) if args.transcriptome else None
+    if args.index and made is not None and not sinks.exists(spark, args.index):
+        strand.build_index(made, args.index, params.k)
+    index = strand.load_index(spark, args.index, params.k) if args.index else strand.kmer_index(made, params.k)
+    about = {"path": args.index or args.transcriptome, "k": params.k, "transcripts": index.select("transcript").distinct().count()}
+    found = strand.sniff_by(sample(source.read(spark, args.input, *_span(args)), args.sample), index, params)
+    whole = reporting.strand_report(found, args.input, params, about)
+    _emit(spark, args, whole, args.output, reporting.strand_text(whole) if args.format == "text" else None)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -207,23 +240,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             _run_segment(spark, args)
         elif args.command == "dedup":
             reads = source.read(spark, args.input)
-            sinks.reserve(spark, [args.input], [args.output], args.force)
-            sinks.publish(dedup.dedup(reads), args.output, args.force, codec=args.compression)
+            sinks.reserve(spark, [args.input], [p for p in (args.output, args.report) if p], args.force)
+            _publish(dedup.dedup(reads), args.output, args)
             if args.report:
                 _emit(spark, args, sinks.rows(dedup.stats(reads))[0], args.report)
         elif args.command == "sniff-adapters":
             params = sniff.SniffParams(args.sample, args.top, MatchParams(**_fields(args, "match")))
             found = sniff.sniff(source.read(spark, args.input, *_span(args)), catalogue.load(args.catalogue), params)
             whole = reporting.adapters_report(found, args.input, params)
-            _emit(spark, args, whole, args.output, reporting.adapters_tsv(whole) if args.format == "tsv" else None)
+            _emit(spark, args, whole, args.output, reporting.adapters_tsv(whole) if args.format == "tsv" else reporting.adapters_text(whole) if args.format == "text" else None)
             if args.emit_config:
                 sinks.write_text(spark, args.emit_config, reporting.config_toml(found), args.force)
             if args.require_confident and found.decision != "confident":
                 return 3
         else:
-            params = strand.StrandParams(**_fields(args, "strand"))
-            found = strand.sniff(sample(source.read(spark, args.input), args.sample), spark.read.parquet(args.transcriptome), params)
-            _emit(spark, args, reporting.strand_report(found, args.input, params), args.output)
+            _sniff_strand(spark, args)
     except ValueError as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

@@ -30,6 +30,12 @@ class TrimParams:
     def needs_quality(self) -> bool:
         return (self.quality_front, self.quality_right, self.quality_tail) != (None, None, None)
 
+    @property
+    def enabled(self) -> tuple[str, ...]:
+        """Names of the trims that are on."""
+        on = {"fixed": self.front > 0 or self.tail > 0, "quality": self.needs_quality, "terminal_n": self.terminal_n, "poly_g": self.poly_g, "poly_x": self.poly_x, "max_length": self.max_length is not None}
+        return tuple(op for op in OPS if on[op])
+
 
 def _sums(phred: np.ndarray) -> np.ndarray:
     out = np.zeros((phred.shape[0], phred.shape[1] + 1), np.int32)

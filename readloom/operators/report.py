@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.kernels.match import LINKED_LABELS
-from readloom.kernels.trim import OPS, REASONS
+from readloom.kernels.trim import OPS, REASONS, TrimParams
 from readloom.operators.workflow import reason_label
 
 
@@ -60,10 +60,18 @@ def adapter_hits(result: DataFrame, declared: tuple[tuple[str, ...], tuple[str,
     return names.join(hits, ["mate", "adapter"], "left").select("mate", "name", F.coalesce("hits", F.lit(0)).cast("bigint").alias("hits"))
 
 
-def trims(result: DataFrame) -> DataFrame:
-    """Reads and bases that each trim took, both mates together."""
-    each = by_mate(result).select(F.posexplode("f.removed").alias("op", "bases")).filter("bases > 0")
-    return each.groupBy(F.get(F.array(*[F.lit(o) for o in OPS]), F.col("op")).alias("op")).agg(F.count("*").alias("reads"), F.sum("bases").cast("bigint").alias("bases"))
+def trims(result: DataFrame, params: tuple[TrimParams, TrimParams] | None = None) -> DataFrame:
+    """Per mate and trim: reads and bases that it took. With `params`, a row for each trim that is on, also one that took
+    nothing, and else for those that took something."""
+    mates = _mates(result)
+    on = [(m, k, op) for m in mates for k, op in enumerate(OPS) if params is None or op in params[m - 1].enabled]
+    gone = {(m, k): F.get(F.col(f"r{m}.removed"), F.lit(k)) for m, k, _ in on}
+    sums = result.agg(*[x for m, k, _ in on for x in (count_if(gone[m, k] > 0).alias(f"n{m}_{k}"), total(gone[m, k]).alias(f"b{m}_{k}"))]) if on else None
+    if sums is None:
+        return result.sparkSession.createDataFrame([], "mate string, op string, reads long, bases long")
+    rows = [F.struct(F.lit(f"R{m}").alias("mate"), F.lit(op).alias("op"), F.col(f"n{m}_{k}").alias("reads"), F.col(f"b{m}_{k}").alias("bases")) for m, k, op in on]
+    out = sums.select(F.inline(F.array(*rows)))
+    return out if params else out.filter("reads > 0")
 
 
 def reasons(result: DataFrame) -> DataFrame:
@@ -122,3 +130,9 @@ def quality_metrics(reads: DataFrame, residue: str) -> DataFrame:
     good = F.length("r1_qual") - F.length(F.regexp_replace("r1_qual", "[?-~]", ""))
     n = F.greatest(F.count("*"), F.lit(1))
     return reads.agg(F.count("*").cast("bigint").alias("reads"), F.avg(F.length("r1_seq")).alias("mean_length"), (F.sum(good) / F.nullif(F.sum(F.length("r1_qual")), F.lit(0))).alias("q30"), (F.count_if(F.contains("r1_seq", F.lit(residue))) * 1e6 / n).alias("residue_ppm"))
+
+
+def kept_pairs(reads: DataFrame, accepted: DataFrame) -> DataFrame:
+    """One row: records of the input and of the output, and those of both, by their indices."""
+    ids = reads.select("record_index").join(accepted.select(F.col("record_index"), F.lit(True).alias("kept")), "record_index", "full_outer")
+    return ids.agg(F.count("*").cast("bigint").alias("records"), count_if(F.col("kept")).alias("kept"))

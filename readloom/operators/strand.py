@@ -1,13 +1,17 @@
 """Strandedness by k-mer pseudo-mapping: reads vote for transcripts by shared k-mers, the formats of the best decide.
 
 Counts differ from an aligner's; the layers above the mapping, tally, gate and classification, do not depend on it.
+
+Transcripts are a table (transcript, sequence and, if some are decoys, decoy) or FASTA; their k-mers can be stored as an
+index and used again. Records are mapped in batches in order, until enough of them are informative. A record whose most
+hits are on decoys alone counts as `decoy`.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import scalars as fs
@@ -38,55 +42,98 @@ class StrandParams:
         return self
 
 
+def read_transcripts(spark: SparkSession, path: str, decoys: str | None = None) -> DataFrame:
+    """(transcript, sequence, decoy) of a Parquet table or of FASTA, whose records are split where they are read; `decoys`
+    is a text file of names."""
+    if path.rstrip("/").rsplit(".", 1)[-1] in ("fa", "fasta", "fna", "gz"):
+        records = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
+        head = F.substring_index("value", "\n", 1)
+        body = F.substr("value", F.length(head) + 1, F.length("value"))
+        rows = records.select(F.regexp_extract(head, r"^\s*(\S+)", 1).alias("transcript"), F.upper(F.regexp_replace(body, r"\s", "")).alias("sequence"))
+    else:
+        rows = spark.read.parquet(path)
+    if decoys:
+        names = spark.read.text(decoys).select(F.trim("value").alias("transcript"), F.lit(True).alias("listed")).distinct()
+        marked = F.coalesce("listed", F.col("decoy") if "decoy" in rows.columns else F.lit(False))
+        return rows.join(names, "transcript", "left").select("transcript", "sequence", marked.alias("decoy"))
+    return rows if "decoy" in rows.columns else rows.withColumn("decoy", F.lit(False))
+
+
+def build_index(transcripts: DataFrame, path: str, k: int) -> None:
+    """Store the k-mers, sorted, so that scans can skip row groups."""
+    kmer_index(transcripts, k).withColumn("k", F.lit(k)).repartition("kmer").sortWithinPartitions("kmer").write.parquet(path)
+
+
+def load_index(spark: SparkSession, path: str, k: int) -> DataFrame:
+    index = spark.read.parquet(path)
+    stored = index.select("k").first()
+    if stored is None or stored["k"] != k:
+        raise ValueError(f"the index at {path} is for k = {stored and stored['k']}, not {k}: build it anew")
+    return index.drop("k")
+
+
 def kmer_index(transcripts: DataFrame, k: int) -> DataFrame:
-    """(kmer, transcript, pos) of the sense strand of every transcript."""
+    """(kmer, transcript, pos, decoy) of the sense strand of every transcript."""
+    if "decoy" not in transcripts.columns:
+        transcripts = transcripts.withColumn("decoy", F.lit(False))
     at = F.when(F.length("sequence") >= k, F.sequence(F.lit(1), F.length("sequence") - k + 1)).otherwise(F.array().cast("array<int>"))
-    return transcripts.select("transcript", F.explode(F.transform(at, lambda i: F.struct(i.alias("pos"), F.substr("sequence", i, F.lit(k)).alias("kmer")))).alias("x")).select("transcript", "x.pos", "x.kmer")
+    return transcripts.select("transcript", F.explode(F.transform(at, lambda i: F.struct(i.alias("pos"), F.substr("sequence", i, F.lit(k)).alias("kmer")))).alias("x"), "decoy").select("transcript", "x.pos", "x.kmer", "decoy")
 
 
-def read_map(reads: DataFrame, transcripts: DataFrame, k: int) -> DataFrame:
-    """(record_index, mate, transcript, sense, hits, pos): how many k-mers each mate shares with each transcript and strand."""
+def read_map(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(record_index, mate, transcript, sense, hits, pos, decoy): how many k-mers each mate shares with each transcript and strand."""
     has = Presence.of(reads)
     every = F.array(*[F.struct(F.lit(m).alias("mate"), F.lit(sense).alias("sense"), (F.col(f"r{m}_seq") if sense else fs.reverse_complement(F.col(f"r{m}_seq"))).alias("s")) for m in has.mates for sense in (True, False)])
     each = reads.select("record_index", F.inline(every)).select("record_index", "mate", "sense", F.explode(F.array_distinct(fs.kmers(F.col("s"), k))).alias("kmer"))
-    return each.join(kmer_index(transcripts, k), "kmer").groupBy("record_index", "mate", "transcript", "sense").agg(F.count("*").alias("hits"), F.min("pos").alias("pos"))
+    return each.join(index, "kmer").groupBy("record_index", "mate", "transcript", "sense").agg(F.count("*").alias("hits"), F.min("pos").alias("pos"), F.first("decoy").alias("decoy"))
 
 
 def formats(reads: DataFrame, transcripts: DataFrame, k: int) -> DataFrame:
-    """(record_index, format): the one format on which a record's best mappings agree, or `ambiguous`; unmapped records are absent."""
+    """(record_index, format): the one format on which a record's best mappings agree, `ambiguous`, or `decoy` if the best are
+    on decoys alone; unmapped records are absent."""
+    return formats_by(reads, kmer_index(transcripts, k), k)
+
+
+def formats_by(reads: DataFrame, index: DataFrame, k: int) -> DataFrame:
     has = Presence.of(reads)
-    maps = read_map(reads, transcripts, k)
+    maps = read_map(reads, index, k)
     if has.paired:
-        one, two = (maps.filter(F.col("mate") == m).select("record_index", "transcript", F.col("sense").alias(f"s{m}"), F.col("hits").alias(f"h{m}"), F.col("pos").alias(f"p{m}")) for m in (1, 2))
-        both = one.join(two, ["record_index", "transcript"]).withColumn("hits", F.col("h1") + F.col("h2"))
+        one, two = (maps.filter(F.col("mate") == m).select("record_index", "transcript", "decoy", F.col("sense").alias(f"s{m}"), F.col("hits").alias(f"h{m}"), F.col("pos").alias(f"p{m}")) for m in (1, 2))
+        both = one.join(two.drop("decoy"), ["record_index", "transcript"]).withColumn("hits", F.col("h1") + F.col("h2"))
         sense_first = F.when(F.col("s1"), F.col("p1") <= F.col("p2")).otherwise(F.col("p2") <= F.col("p1"))
         side = F.when(F.col("s1") == F.col("s2"), "M").when(sense_first, "I").otherwise("O")
         both = both.withColumn("format", F.concat(side, F.lit("S"), F.when(F.col("s1"), "F").otherwise("R")))
     else:
         both = maps.withColumn("format", F.when(F.col("sense"), "SF").otherwise("SR"))
     # the most hits, and the formats that have them
-    by_hits = both.groupBy("record_index", "hits").agg(F.min("format").alias("a"), F.max("format").alias("b"))
+    own = F.when(~F.col("decoy"), F.col("format"))
+    by_hits = both.groupBy("record_index", "hits").agg(F.min(own).alias("a"), F.max(own).alias("b"))
     best = by_hits.groupBy("record_index").agg(F.max_by(F.struct("a", "b"), "hits").alias("f"))
-    return best.select("record_index", F.when(F.col("f.a") == F.col("f.b"), F.col("f.a")).otherwise("ambiguous").alias("format"))
+    return best.select("record_index", F.when(F.col("f.a").isNull(), "decoy").when(F.col("f.a") == F.col("f.b"), F.col("f.a")).otherwise("ambiguous").alias("format"))
 
 
 def tally(records: DataFrame) -> DataFrame:
     return records.groupBy("format").agg(F.count("*").alias("records"))
 
 
-def stop_after(records: DataFrame, params: StrandParams) -> DataFrame:
-    """Records (ordinal, format) up to the end of the first batch that reaches the target of informative ones.
+def stop_batch(records: DataFrame, params: StrandParams) -> int:
+    """The first batch of `records` (ordinal, format) with which the target of informative ones is reached, or the last.
 
     A count a batch, summed in order; the batches of a sample are bounded by its size.
     """
-    informative = F.col("format").isNotNull() & (F.col("format") != "ambiguous")
+    informative = F.col("format").isNotNull() & ~F.col("format").isin("ambiguous", "decoy")
     counts = records.groupBy(F.floor(F.col("ordinal") / params.batch).alias("b")).agg(F.count_if(informative).alias("n")).orderBy("b").collect()
-    seen, last = 0, None
+    seen, last = 0, -1
     for r in counts:
         last, seen = r["b"], seen + r["n"]
         if seen >= params.target_informative:
             break
-    return records.filter(F.floor(F.col("ordinal") / params.batch) <= F.lit(last if last is not None else -1))
+    return last
+
+
+def stop_after(records: DataFrame, params: StrandParams) -> DataFrame:
+    """Records up to the end of the batch that reaches the target."""
+    return records.filter(F.floor(F.col("ordinal") / params.batch) <= stop_batch(records, params))
 
 
 @dataclass
@@ -103,6 +150,8 @@ class StrandReport:
     ambiguous: int
     counts: dict[str, int]
     warnings: list[str]
+    decoy_only: int = 0
+    short: int = 0
 
     @property
     def featurecounts(self) -> int | None:
@@ -132,16 +181,46 @@ def classify(counts: dict[str, int], examined: int, paired: bool, params: Strand
     if enough:
         prefix = {"inward": "I", "outward": "O", "matching": "M"}.get(orientation, "") if paired else ""
         library = prefix + ({"forward": "SF", "reverse": "SR"}.get(strand, "U"))
-    notes = [f"pairs are mostly {orientation}"] if orientation in ("outward", "matching") else []
-    return StrandReport("confident" if strand != "undetermined" else "undetermined", None if enough else "insufficient_mapping_evidence", library, strand, orientation, f, r, informative, examined, ambiguous, dict(counts), notes)
+    notes = [f"pairs are mostly {orientation}, not inward: check the library preparation"] if orientation in ("outward", "matching") else []
+    decoys = counts.get("decoy", 0)
+    if 4 * decoys > examined > 0:
+        notes.append("over a quarter of the records map to decoys alone, which usually means genomic contamination")
+    return StrandReport("confident" if strand != "undetermined" else "undetermined", None if enough else "insufficient_mapping_evidence", library, strand, orientation, f, r, informative, examined, ambiguous, dict(counts), notes, decoys)
 
 
 def sniff(reads: DataFrame, transcripts: DataFrame, params: StrandParams = StrandParams()) -> StrandReport:
-    """Map all given reads (a sample, say) and classify."""
+    """Map the given reads (a sample, say) in order, as many batches as it takes, and classify."""
+    return sniff_by(reads, kmer_index(transcripts, params.validate().k), params)
+
+
+def sniff_by(reads: DataFrame, index: DataFrame, params: StrandParams = StrandParams()) -> StrandReport:
+    """With an index. Rounds of batches are mapped, each four times the one before, until one holds the stop."""
     params.validate()
-    found = tally(formats(reads, transcripts, params.k)).collect()
-    report = classify({r["format"]: r["records"] for r in found}, reads.count(), Presence.of(reads).paired, params)
-    lengths = reads.agg(F.min(F.length("r1_seq")).alias("n")).first()["n"]
-    if lengths is not None and lengths < params.k:
-        report.warnings.append(f"some reads are shorter than k = {params.k}")
+    has = Presence.of(reads)
+    columns = [f"r{m}_seq" for m in has.mates]
+    w = Window.orderBy("record_index")
+    rows = reads.select("record_index", *columns).withColumn("ordinal", F.row_number().over(w).cast("long") - 1).persist()  # a sample: bounded
+    try:
+        total, seen, size, informative = rows.count(), 0, params.batch, 0
+        counts: dict[str, int] = {}
+        while seen < total:
+            part = rows.filter((F.col("ordinal") >= seen) & (F.col("ordinal") < seen + size))
+            found = part.select("record_index", "ordinal").join(formats_by(part.drop("ordinal"), index, params.k), "record_index", "left").persist()
+            need = replace(params, target_informative=max(1, params.target_informative - informative), min_informative=0)
+            last = min(total, seen + size, (stop_batch(found, need) + 1) * params.batch)
+            for r in found.filter(F.col("ordinal") < last).groupBy("format").agg(F.count("*").alias("n")).collect():
+                if r["format"]:
+                    counts[r["format"]] = counts.get(r["format"], 0) + r["n"]
+            found.unpersist()
+            informative = sum(n for f, n in counts.items() if f not in ("ambiguous", "decoy"))
+            seen, size = last, 4 * size
+            if informative >= params.target_informative:
+                break
+        report = classify(counts, seen, has.paired, params)
+        least = F.least(*[F.length(c) for c in columns]) if len(columns) > 1 else F.length(columns[0])
+        report.short = rows.filter((F.col("ordinal") < seen) & (least < params.k)).count()
+    finally:
+        rows.unpersist()
+    if report.short:
+        report.warnings.append(f"{report.short} records are shorter than k = {params.k} and cannot be mapped")
     return report

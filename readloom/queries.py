@@ -324,9 +324,16 @@ def report_adapter_hits(spark, sf_dir):
     return report.adapter_hits(parity(spark, sf_dir), NAMES)
 
 
-@query(f"WITH {PARITY_SQL} SELECT 'quality' AS op, count(*) AS reads, sum(e0 - e)::BIGINT AS bases FROM t WHERE e < e0")
+@query(f"WITH {PARITY_SQL} SELECT mate, 'quality' AS op, count(*) FILTER (e < e0) AS reads, sum(e0 - e)::BIGINT AS bases FROM t GROUP BY mate UNION ALL SELECT mate, 'max_length', 0, 0 FROM (VALUES ('R1'), ('R2')) v(mate)")
 def report_trim(spark, sf_dir):
-    return report.trims(parity(spark, sf_dir))
+    """Trims that are on, also one that takes nothing."""
+    both = (replace(TAIL20, max_length=1000),) * 2
+    return report.trims(parity(spark, sf_dir, trim=both), both)
+
+
+@query(f"WITH {PARITY_SQL} SELECT count(*) AS records, count(*) FILTER (e1 >= 20 AND e2 >= 20) AS kept FROM w")
+def kept_pairs(spark, sf_dir):
+    return report.kept_pairs(reads(spark, sf_dir, px.PAIRS), outputs.accepted(parity(spark, sf_dir)))
 
 
 @query(f"WITH {FILTER_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS reason, count(*) FILTER (b{i}) AS mates FROM y" for i, n in enumerate(_B)) + " UNION ALL SELECT 'LINKED_UNMATCHED', 0")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +34,45 @@ def reserve(spark: SparkSession, inputs: list[str], outputs: list[str], force: b
             raise ValueError(f"{p} exists; use force to replace it")
 
 
-def publish(df: DataFrame, path: str, force: bool = False, order: tuple[str, ...] = ("record_index",), codec: str = "zstd", block_bytes: int | None = None) -> None:
-    """Write sorted by `order` beside `path`, then rename; what was there goes only at the end, and only with force."""
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
+@contextmanager
+def staged(df: DataFrame, near: str) -> Iterator[DataFrame]:
+    """`df` written once beside `near`, for several outputs and reports that read from there; gone afterwards.
+
+    A run's kernels are evaluated once this way, however many tables are taken from their facts, and with pruned
+    columns; the folder is the output's, which the driver and all executors share.
+    """
+    spark = df.sparkSession
+    path = f"{near.rstrip('/')}.{uuid.uuid4().hex}.facts"
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)
+
+
+def _replace(spark: SparkSession, temp: str, path: str) -> None:
+    """Rename `temp` to `path`; what was there steps aside and goes last, or comes back."""
+    fs, where = _fs(spark, path)
+    aside = None
+    if fs.exists(where):
+        aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.old"
+        if not fs.rename(where, _fs(spark, aside)[1]):
+            raise OSError(f"cannot move {path} aside")
+    if not fs.rename(_fs(spark, temp)[1], where):
+        if aside:
+            fs.rename(_fs(spark, aside)[1], where)
+        raise OSError(f"cannot rename {temp} to {path}")
+    if aside:
+        remove(spark, aside)
+
+
+def publish(df: DataFrame, path: str, force: bool = False, order: tuple[str, ...] = ("record_index",), codec: str = "zstd", block_bytes: int | None = None, level: int | None = None) -> None:
+    """Write beside `path`, sorted by `order` (as it comes if that is empty), then rename; what was there goes only at the end, and only with force."""
     spark = df.sparkSession
     if block_bytes is not None and block_bytes <= 0:
         raise ValueError("the block size must be positive")
@@ -43,15 +82,13 @@ def publish(df: DataFrame, path: str, force: bool = False, order: tuple[str, ...
     writer = (df.orderBy(*own) if own else df).write.option("compression", codec)
     if block_bytes:
         writer = writer.option("parquet.block.size", block_bytes)
+    if level is not None:
+        writer = writer.option(f"parquet.compression.codec.{codec}.level", level)
     try:
         writer.parquet(temp)
-        fs, where = _fs(spark, path)
-        if fs.exists(where):
-            if not force:
-                raise ValueError(f"{path} exists; use force to replace it")
-            fs.delete(where, True)
-        if not fs.rename(_fs(spark, temp)[1], where):
-            raise OSError(f"cannot rename {temp} to {path}")
+        if not force and exists(spark, path):
+            raise ValueError(f"{path} exists; use force to replace it")
+        _replace(spark, temp, path)
     finally:
         fs, where = _fs(spark, temp)
         if fs.exists(where):
@@ -80,12 +117,14 @@ def as_tsv(report: dict[str, Any]) -> str:
 
 def write_text(spark: SparkSession, path: str, text: str, force: bool = False) -> None:
     reserve(spark, [], [path], force)
-    fs, where = _fs(spark, path)
-    out = fs.create(where, force)
+    temp = f"{path}.{uuid.uuid4().hex}.tmp"
+    fs, where = _fs(spark, temp)
+    out = fs.create(where, False)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+    _replace(spark, temp, path)
 
 
 def rows(df: DataFrame) -> list[dict[str, Any]]:

@@ -14,7 +14,9 @@ def read(spark: SparkSession, path: str, start: int = 0, end: int | None = None,
     df = spark.read.parquet(path)
     if "record_index" not in df.columns:
         df = with_index(df)
-    out = span(reads_of(df), start, end)
+    df = reads_of(df)
+    # a start beyond the end is an error; the count reads footers alone
+    out = span(df, start, end, df.count() if start else None)
     return checked(out) if check else out
 
 
