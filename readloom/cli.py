@@ -189,12 +189,16 @@ def _run_stages(spark: SparkSession, args: argparse.Namespace) -> None:
             if not args.quiet:
                 print(reporting.summary(found), file=sys.stderr)
 
-    result = workflow.run(reads, plan)
-    if args.quiet and args.unsorted and not any(paths[1:]):  # one table and no order: nothing is evaluated twice
-        finish(result)
-    else:
-        with sinks.staged(result, args.output) as facts:
-            finish(facts)
+    if args.quiet and not any(paths[1:]):  # nothing but the accepted records is asked for
+        table = workflow.accepted(reads, plan)
+        if args.unsorted:
+            _publish(table, args.output, args)
+        else:  # sorting reads its input twice
+            with sinks.staged(table, args.output) as facts:
+                _publish(facts, args.output, args)
+        return
+    with sinks.staged(workflow.run(reads, plan), args.output) as facts:
+        finish(facts)
 
 
 def _publish(df: DataFrame, path: str, args: argparse.Namespace, order: tuple[str, ...] = ("record_index",)) -> None:

@@ -84,7 +84,13 @@ def related(a: str, b: str, least: int = 12, rate: float = 0.1) -> bool:
     return abs(len(a) - len(b)) <= limit and edit_distance(a, b) <= limit
 
 
+def edits(a: Column, b: Column) -> Column:
+    """The edit distance of two columns."""
+    return F.levenshtein(a, b)
+
+
 def edit_distance(a: str, b: str) -> int:
+    """The edit distance of two short strings of the driver."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         diagonal, row[0] = row[0], i

@@ -38,9 +38,12 @@ def matrix(column: pa.Array, pad: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 def strings(m: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """Row slices [start, end) as an Arrow string array."""
-    inside = (np.arange(m.shape[1]) >= start[:, None]) & (np.arange(m.shape[1]) < end[:, None])
-    offsets = np.concatenate([[0], np.cumsum(np.maximum(end - start, 0))]).astype(np.int32)
-    return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(m[inside]))
+    n, width = m.shape
+    end = np.maximum(end, start)
+    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    raw, base = np.ascontiguousarray(m).tobytes(), np.arange(n) * width
+    data = b"".join([raw[a:b] for a, b in zip((base + start).tolist(), (base + end).tolist(), strict=True)])
+    return pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(data))
 
 
 def parts(lengths: list[np.ndarray], n: int) -> Iterator[slice]:

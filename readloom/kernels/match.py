@@ -73,6 +73,29 @@ def accepted(m: np.ndarray, length: np.ndarray, a: np.ndarray, params: MatchPara
     return ok, errors, overlap
 
 
+def first_accepted(columns: np.ndarray, length: np.ndarray, a: np.ndarray, params: MatchParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(read, start, errors, overlap) of each read's first accepted place. `columns` is the matrix with a row a place and
+    len(a) empty ones more, so that each comparison runs over one piece of memory."""
+    width, n = columns.shape[0] - len(a), columns.shape[1]
+    errors = np.zeros((width, n), np.uint8 if len(a) < 255 else np.int32)
+    differs = np.empty((width, n), bool)
+    for j, base in enumerate(a):
+        np.not_equal(columns[j : j + width], base, out=differs)
+        errors += differs.view(np.uint8)
+    # places beyond the end of a read count as errors: what is allowed at each overlap, and one more
+    o = np.arange(len(a) + 1)
+    allowed = np.where(o >= params.min_overlap, params.limit(o) + len(a) - o + 1, 0).astype(errors.dtype)
+    place = np.arange(width)[:, None]
+    if n and (length == length[0]).all():
+        ok = errors < allowed[np.clip(length[0] - place, 0, len(a))]
+    else:
+        ok = errors < allowed[np.clip(length.astype(np.int32) - place.astype(np.int32), 0, len(a))]
+    read = np.flatnonzero(ok.any(0))
+    start = ok[:, read].argmax(0) if width else read
+    overlap = np.minimum(length[read] - start, len(a))
+    return read, start, errors[start, read].astype(np.int64) - (len(a) - overlap), overlap
+
+
 def three_prime(m: np.ndarray, length: np.ndarray, patterns: list[str], params: MatchParams) -> Hits:
     """The winning 3' match: smallest start, fewest errors, longest overlap, first declared."""
     if params.allow_indels:
@@ -81,16 +104,14 @@ def three_prime(m: np.ndarray, length: np.ndarray, patterns: list[str], params:
     if len(patterns) >= INDEXED and (index := seed_index(tuple(patterns), params)):
         return index.search(m, length)
     out = Hits.none(n)
-    rows = np.arange(n)
+    longest = max(map(len, patterns), default=0)
+    columns = np.zeros((m.shape[1] + longest, n), np.uint8)
+    columns[: m.shape[1]] = m.T
     for k, sequence in enumerate(patterns):
-        ok, errors, overlap = accepted(m, length, pattern(sequence), params)
-        if not ok.shape[1]:
-            continue
-        p = ok.argmax(1)
-        has = ok[rows, p]
-        e, o = errors[rows, p].astype(np.int64), overlap[rows, p]
-        better = has & ((out.start < 0) | (p < out.start) | (p == out.start) & ((e < out.errors) | (e == out.errors) & (o > out.overlap)))
-        out.put(better, p[better], e[better], o[better], o[better], k)
+        row, p, e, o = first_accepted(columns[: m.shape[1] + len(sequence)], length, pattern(sequence), params)
+        was, errors, overlap = out.start[row], out.errors[row], out.overlap[row]
+        better = (was < 0) | (p < was) | (p == was) & ((e < errors) | (e == errors) & (o > overlap))
+        out.put(row[better], p[better], e[better], o[better], o[better], k)
     return out
 
 

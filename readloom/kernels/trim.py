@@ -51,17 +51,25 @@ def quality_front(sums: np.ndarray, s: np.ndarray, e: np.ndarray, q: int, window
     return np.where(ok.any(1), ok.argmax(1), e)
 
 
-def quality_tail(sums: np.ndarray, s: np.ndarray, e: np.ndarray, q: int, window: int) -> np.ndarray:
-    """The last end whose window, cut by the start, reaches q; the start if none does."""
-    at = np.arange(sums.shape[1])
-    if s.any():
-        begin = np.maximum(at - window, s[:, None])
-        before = np.take_along_axis(sums, begin, 1)
-    else:  # untouched starts: the sums moved by a window
-        begin = np.maximum(at - window, 0)
-        before = sums[:, begin]
-    ok = (at > s[:, None]) & (at <= e[:, None]) & (sums - before >= q * (at - begin))
-    return np.where(ok.any(1), ok.shape[1] - 1 - ok[:, ::-1].argmax(1), s)
+def quality_tail(phred: np.ndarray, s: np.ndarray, e: np.ndarray, q: int, window: int) -> np.ndarray:
+    """The last end whose window, cut by the start, reaches q; the start if none does. Ends are tried from the last on, for
+    the reads that still want one."""
+    n, width = phred.shape
+    sums = np.zeros((width + 1, n), np.int32)
+    for at, column in enumerate(np.ascontiguousarray(phred.T)):  # rows of one piece of memory
+        np.add(sums[at], column, out=sums[at + 1])
+    out, live = s.copy(), np.flatnonzero(e > s)
+    if not len(live):
+        return out
+    for at in range(int(e.max()), int(s[live].min()), -1):
+        begin = np.maximum(at - window, s[live])
+        here = sums[at, live] - sums[begin, live] >= q * (at - begin)
+        here &= (at <= e[live]) & (at > s[live])
+        out[live[here]] = at
+        live = live[~here]
+        if not len(live):
+            break
+    return out
 
 
 def quality_right(sums: np.ndarray, s: np.ndarray, e: np.ndarray, q: int, window: int) -> np.ndarray:
@@ -103,13 +111,14 @@ def trim(m: np.ndarray, quality: np.ndarray | None, s: np.ndarray, e: np.ndarray
     s2 = np.minimum(s + p.front, e)
     s, e = count("fixed", s2, np.maximum(e - p.tail, s2))
     if p.needs_quality:
-        sums = _sums(np.maximum(quality.astype(np.int16) - 33, 0))
+        phred = np.maximum(quality, 33) - np.uint8(33)
+        sums = _sums(phred) if (p.quality_front, p.quality_right) != (None, None) else None
         if p.quality_front is not None:
             s, e = count("quality", quality_front(sums, s, e, p.quality_front, p.window), e)
         if p.quality_right is not None:
             s, e = count("quality", s, quality_right(sums, s, e, p.quality_right, p.window))
         if p.quality_tail is not None:
-            s, e = count("quality", s, quality_tail(sums, s, e, p.quality_tail, p.window))
+            s, e = count("quality", s, quality_tail(phred, s, e, p.quality_tail, p.window))
     if p.terminal_n:
         s, e = count("terminal_n", *terminal_n(m, s, e))
     if p.poly_g:
@@ -150,7 +159,8 @@ def reasons(m: np.ndarray, quality: np.ndarray | None, s: np.ndarray, e: np.ndar
     """Bit set of every rule that the span fails, in the order of REASONS."""
     n = e - s
     at = np.arange(m.shape[1])
-    inside = (at >= s[:, None]) & (at < e[:, None])
+    by_base = p.needs_quality or any(x is not None for x in (p.max_n, p.max_n_fraction, p.min_complexity))
+    inside = (at >= s[:, None]) & (at < e[:, None]) if by_base else None
     out = np.zeros(len(s), np.int64)
 
     def add(bit: int, fails: np.ndarray) -> None:

@@ -48,6 +48,39 @@ def run(reads: DataFrame, plan: Plan) -> DataFrame:
     return out.withColumn("disposition", disposition(plan.pair_policy, has.paired))
 
 
+def accepted(reads: DataFrame, plan: Plan) -> DataFrame:
+    """What outputs.accepted(run(reads, plan)) gives, in one pass that returns nothing else from the kernels."""
+    ship.ensure(reads.sparkSession)
+    has = Presence.of(reads)
+    plan.validate(has.paired, has.quality, has.headers)
+    work = with_umi(reads, plan.umi, has) if plan.umi else reads
+    tagged = {m: f"r{m}_tagged" if f"r{m}_tagged" in work.columns else f"r{m}_header" for m in has.mates}
+    clips = [c for c in work.columns if c.startswith("umi_clip_r")]
+    used = [*dict.fromkeys(["record_index", *has.columns(), *(tagged.values() if has.headers else ()), *clips])]
+    work = work.select(*used)
+    kinds = dict(work.dtypes)
+    out = [("record_index", kinds["record_index"])]
+    for m in has.mates:
+        out += [(f"r{m}_seq", "string"), *[(f"r{m}_qual", "string")] * has.quality, *[(f"r{m}_header", "string")] * has.headers]
+    out += [("flag", kinds["flag"])] if has.flags else []
+    types = _arrow_types()
+
+    def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _pieces(batch, has):
+                mates = process(piece, plan, has, types)[: len(has.mates)]
+                fields = {m: dict(zip([f.name for f in x.type], x.flatten(), strict=True)) for m, x in zip(has.mates, mates, strict=True)}
+                ok = np.logical_and.reduce([np.asarray(f["reasons"]) == 0 for f in fields.values()])
+                columns = [piece.column("record_index")]
+                for m, f in fields.items():
+                    columns += [f["seq"], *[f["qual"]] * has.quality, *[piece.column(tagged[m]) for _ in range(has.headers)]]
+                columns += [piece.column("flag")] if has.flags else []
+                whole = pa.RecordBatch.from_arrays(columns, [n for n, _ in out])
+                yield whole if ok.all() else whole.filter(pa.array(ok))
+
+    return work.mapInArrow(run_batches, ", ".join(f"`{n}` {t}" for n, t in out))
+
+
 def disposition(policy: str, paired: bool) -> Column:
     """Both mates pass: accepted; both fail: rejected; one fails: rejected, or by the orphan policy the other's orphan."""
     ok1 = F.col("r1.reasons") == 0
@@ -72,14 +105,19 @@ def _arrow_types() -> tuple[pa.DataType, pa.DataType]:
 def _kernel(plan: Plan, has: Presence, kept: list[str], types: tuple[pa.DataType, pa.DataType]):
     def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = [np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(c)), 0)) for c in ("r1_seq", *(["r2_seq"] if has.paired else []))]
-            for part in kb.parts(sizes, batch.num_rows):
-                piece = batch.slice(part.start, part.stop - part.start)
+            for piece in _pieces(batch, has):
                 yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in kept], *process(piece, plan, has, types)], [*kept, "r1", "r2", "overlap"])
 
     return run_batches
 
 
+def _pieces(batch: pa.RecordBatch, has: Presence) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, so many that their matrices stay bounded."""
+    sizes = [np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(f"r{m}_seq")), 0)) for m in has.mates]
+    for part in kb.parts(sizes, batch.num_rows):
+        yield batch.slice(part.start, part.stop - part.start)
+
+
 def _clip(batch: pa.RecordBatch, mate: int) -> np.ndarray:
     name = f"umi_clip_r{mate}"
     return np.asarray(batch.column(name), np.int64) if name in batch.schema.names else np.zeros(batch.num_rows, np.int64)

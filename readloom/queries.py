@@ -102,12 +102,38 @@ def parity(spark: SparkSession, sf_dir: str, **changes) -> DataFrame:
 
 @query(f"WITH {PARITY_SQL} SELECT record_index, substr(s1, 1, e1) AS r1_seq, substr(q1, 1, e1) AS r1_qual, substr(s2, 1, e2) AS r2_seq, substr(q2, 1, e2) AS r2_qual FROM w WHERE e1 >= 20 AND e2 >= 20")
 def workflow_parity(spark, sf_dir):
-    return outputs.accepted(parity(spark, sf_dir)).drop("r1_header", "r2_header")
+    return workflow.accepted(reads(spark, sf_dir, px.PAIRS), PARITY).drop("r1_header", "r2_header")
 
 
 # Scalars
 
 
+@query(f"WITH {cte(px.PAIRS)} SELECT record_index, cast(levenshtein(substr(r1_seq, 1, 30), substr(r2_seq, 1, 30)) AS INTEGER) AS edits FROM r")
+def edit_distance(spark, sf_dir):
+    head = lambda c: F.substring(c, 1, 30)
+    return reads(spark, sf_dir, px.PAIRS).select("record_index", fs.edits(head("r1_seq"), head("r2_seq")).alias("edits"))
+
+
+@query(f"WITH {cte(px.READS)} SELECT record_index, CASE WHEN length(r1_seq) - 80 = 0 THEN 0::DOUBLE ELSE (length(r1_seq) - length(replace(r1_seq, 'N', '')))::DOUBLE / (length(r1_seq) - 80) END AS share FROM r")
+def fraction(spark, sf_dir):
+    n = F.length("r1_seq")
+    return reads(spark, sf_dir, px.READS).select("record_index", fs.fraction(fs.n_count(F.col("r1_seq")), n - 80).alias("share"))
+
+
+_FAMILY = [e.r1 for e in catalogue.load()[:24]]
+_FAMILY_ROWS = ", ".join(f"({k}, '{x}')" for k, x in enumerate(_FAMILY))
+
+
+@query(f"""WITH l AS (SELECT * FROM (VALUES {_FAMILY_ROWS}) t(k, s)), p AS (SELECT x.k AS a, y.k AS b, x.s AS s, y.s AS t, least(length(x.s), length(y.s)) AS short FROM l x JOIN l y ON x.k < y.k),
+q AS (SELECT *, least(greatest(12, short // 2), short) AS need FROM p), o AS (SELECT *, unnest(range(need - length(t), length(s) - need + 1)) AS off FROM q),
+h AS (SELECT *, greatest(off, 0) AS lo, least(length(s), off + length(t)) AS hi FROM o), m AS (SELECT a, b, bool_or(hamming(substr(s, lo + 1, hi - lo), substr(t, lo - off + 1, hi - lo)) <= 0.1::DOUBLE * (hi - lo)) AS slide FROM h WHERE hi - lo >= need GROUP BY a, b)
+SELECT cast(q.a AS INTEGER) AS a, cast(q.b AS INTEGER) AS b, coalesce(slide, false) OR (abs(length(s) - length(t)) <= floor(0.1::DOUBLE * short) AND levenshtein(s, t) <= floor(0.1::DOUBLE * short)) AS related FROM q LEFT JOIN m ON m.a = q.a AND m.b = q.b""")
+def family(spark, sf_dir):
+    """The family test on pairs of known sequences."""
+    rows = [(i, j, fs.related(x, y)) for i, x in enumerate(_FAMILY) for j, y in enumerate(_FAMILY) if i < j]
+    return spark.createDataFrame(rows, "a int, b int, related boolean")
+
+
 @query(f"WITH {cte(px.PAIRS)} SELECT record_index, cast(list_sum({phreds('r1_qual')}) AS BIGINT) AS phred_sum FROM r")
 def phred_sum(spark, sf_dir):
     return reads(spark, sf_dir, px.PAIRS).select("record_index", fs.phred_sum(F.col("r1_qual")).alias("phred_sum"))
@@ -265,6 +291,11 @@ def orphan_r2(spark, sf_dir):
     return outputs.orphans(parity(spark, sf_dir, pair_policy="orphan"), 2).drop("r1_header")
 
 
+@query(f"WITH {PARITY_SQL} SELECT record_index, substr(s1, 1, e1) AS r1_seq, substr(q1, 1, e1) AS r1_qual FROM w WHERE e1 >= 20 AND e2 < 20")
+def orphan_r1(spark, sf_dir):
+    return outputs.orphans(parity(spark, sf_dir, pair_policy="orphan"), 1).drop("r1_header")
+
+
 # Adapters
 
 
@@ -295,13 +326,13 @@ def adapter_indel(spark, sf_dir):
     return hits_of(workflow.run(reads(spark, sf_dir, px.PAIRS), Plan(adapter=replace(ADAPTERS, match=MatchParams(allow_indels=True)))))
 
 
-_LIBRARY = [(f"R{m}", k, e.sequence_of(f"R{m}")) for m in (1, 2) for k, e in enumerate(catalogue.load())]
+_LIBRARY = [("R2", k, e.sequence_of("R2")) for k, e in enumerate(catalogue.load())]
 
 
 @query(f"WITH {cte(px.PAIRS)}, {sql_mates()}, {sql_hits(_LIBRARY)} SELECT mate, cast(k AS INTEGER) AS entry, count(*) AS reads FROM hit GROUP BY ALL")
 def catalogue_lookup(spark, sf_dir):
     library = catalogue.load()
-    return sniff.library_hits(sniff.by_mate(reads(spark, sf_dir, px.PAIRS)), {m: [e.sequence_of(m) for e in library] for m in ("R1", "R2")}, MatchParams())
+    return sniff.library_hits(sniff.by_mate(reads(spark, sf_dir, px.PAIRS)), {"R2": [e.sequence_of("R2") for e in library]}, MatchParams())
 
 
 # Reports
@@ -631,13 +662,55 @@ def overhang_votes(spark, sf_dir):
     return sniff.overhang_votes(reads(spark, sf_dir, px.PAIRS))
 
 
+def tallies_of(t: DataFrame) -> dict[str, dict[str, dict[int, int]]]:
+    """The tallies of one candidate a mate: mate, what, value."""
+    out: dict[str, dict[str, dict[int, int]]] = {}
+    for r in t.collect():
+        out.setdefault(r["mate"], {}).setdefault(r["what"], {})[r["value"]] = r["n"]
+    return out
+
+
 @query(f"WITH {cte(px.PAIRS)}, {sql_mates()}, {sql_hits(TRUSEQ)} SELECT mate, count(*) AS supporting, count(*) FILTER (p + 33 >= 80) AS tail_connected, count(*) FILTER (p + 60 >= 80) AS tail, count(*) FILTER (p + 60 < 80) AS body, sum(e)::BIGINT AS errors, sum(o)::BIGINT AS overlap, cast(quantile_disc(p, 0.5) AS INTEGER) AS median_start FROM hit GROUP BY mate")
 def candidate_support(spark, sf_dir):
-    t = sniff.verify(sniff.by_mate(reads(spark, sf_dir, px.PAIRS)), {"R1": [px.TRUSEQ_R1], "R2": [px.TRUSEQ_R2]}, MatchParams())
-    what = lambda name: F.coalesce(F.sum(F.when(F.col("what") == name, F.col("n"))), F.lit(0)).cast("bigint").alias(name)
-    sums = t.groupBy("mate").agg(*[what(x) for x in ("supporting", "tail_connected", "tail", "body", "errors", "overlap")])
-    starts = t.filter("what = 'start'").select("mate", F.inline(F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.struct(F.col("value").alias("v")))))
-    return sums.join(starts.groupBy("mate").agg(F.expr("cast(percentile_disc(0.5) within group (order by v) as int)").alias("median_start")), "mate")
+    found = tallies_of(sniff.verify(sniff.by_mate(reads(spark, sf_dir, px.PAIRS)), {"R1": [px.TRUSEQ_R1], "R2": [px.TRUSEQ_R2]}, MatchParams()))
+    names = ("supporting", "tail_connected", "tail", "body", "errors", "overlap")
+    rows = [(mate, *[sum(t.get(x, {}).values()) for x in names], sniff.median(t.get("start", {}))) for mate, t in found.items()]
+    return spark.createDataFrame(rows, "mate string, " + ", ".join(f"{x} long" for x in names) + ", median_start int")
+
+
+_METRICS = "support_fraction double, tail_connected double, enrichment double, median_to_end int, mean_error double, confidence string"
+
+
+@query(f"""WITH {cte(px.PAIRS)}, {sql_mates()}, {sql_hits(TRUSEQ)}, n AS (SELECT mate, count(*) AS reads, sum(least(60, length(s), greatest(length(s) - 7, 0)))::DOUBLE AS tp, sum(greatest(length(s) - 7, 0) - least(60, length(s), greatest(length(s) - 7, 0)))::DOUBLE AS bp FROM m GROUP BY mate),
+g AS (SELECT mate, count(*)::DOUBLE AS k, count(*) FILTER (p + 33 >= 80) AS tc, count(*) FILTER (p + 60 >= 80)::DOUBLE AS tail, count(*) FILTER (p + 60 < 80)::DOUBLE AS body, sum(e)::DOUBLE AS errors, sum(o)::DOUBLE AS bases, quantile_disc(80 - p, 0.5) AS away FROM hit GROUP BY mate),
+x AS (SELECT mate, k / reads AS support_fraction, tc / k AS tail_connected, (tail / tp) / (nullif(body, 0) / bp) AS enrichment, cast(away AS INTEGER) AS median_to_end, errors / bases AS mean_error, reads, k FROM n JOIN g USING (mate))
+SELECT mate, support_fraction, tail_connected, enrichment, median_to_end, mean_error, CASE WHEN reads < 100 OR k < 20 OR mean_error > 0.1::DOUBLE THEN 'low' WHEN (median_to_end - 33 <= 3 OR tail_connected >= 0.8::DOUBLE) AND support_fraction >= 0.01::DOUBLE THEN 'high' ELSE 'medium' END AS confidence FROM x""")
+def candidate_metrics(spark, sf_dir):
+    """Shares, enrichment, medians and the confidence of a known candidate."""
+    mates = sniff.by_mate(reads(spark, sf_dir, px.PAIRS))
+    scans = {r["mate"]: r.asDict() for r in sniff.scan_totals(mates, 8).collect()}
+    found = tallies_of(sniff.verify(mates, {"R1": [px.TRUSEQ_R1], "R2": [px.TRUSEQ_R2]}, MatchParams()))
+    known = sniff.Candidate("", "TruSeq", "adapter", 0, ("known_database",))
+    made = [(m, sniff.measured(replace(known, sequence=x), found[m], scans[m], sniff.Gates())) for m, x in (("R1", px.TRUSEQ_R1), ("R2", px.TRUSEQ_R2))]
+    return spark.createDataFrame([(m, c.support_fraction, c.tail_connected, c.enrichment, c.median_to_end, c.mean_error, c.confidence) for m, c in made], f"mate string, {_METRICS}")
+
+
+@query(f"""WITH {cte(px.PAIRS)}, x AS (SELECT r1_seq AS s, instr(r1_seq, '{_SEED}') AS p FROM r WHERE contains(r1_seq, '{_SEED}')), n AS (SELECT count(*) AS voting FROM x),
+v AS (SELECT 'right' AS side, c, substr(s, p + c, 1) AS base FROM (SELECT *, unnest(range(0, 60)) AS c FROM x) y WHERE p + c <= length(s) UNION ALL SELECT 'left', c, substr(s, p - 1 - c, 1) FROM (SELECT *, unnest(range(0, 60)) AS c FROM x) y WHERE p - 1 - c >= 1),
+k AS (SELECT side, c, base, count(*) AS n FROM v WHERE base IN ('A', 'C', 'G', 'T') GROUP BY ALL), w AS (SELECT side, c, sum(n) AS total, max(n) AS top, arg_max(base, n * 10 - ascii(base) / 100.0) AS base FROM k GROUP BY ALL),
+ok AS (SELECT side, c, base FROM w, n WHERE total >= 0.5::DOUBLE * voting AND top >= 0.6::DOUBLE * total), stop AS (SELECT side, min(c) AS c FROM (SELECT side, c FROM (VALUES ('left'), ('right')) s(side), range(0, 61) r(c) EXCEPT SELECT side, c FROM ok) z GROUP BY side),
+l AS (SELECT coalesce(string_agg(base, '' ORDER BY ok.c DESC), '') AS s FROM ok JOIN stop USING (side) WHERE side = 'left' AND ok.c < stop.c), g AS (SELECT coalesce(string_agg(base, '' ORDER BY ok.c), '') AS s FROM ok JOIN stop USING (side) WHERE side = 'right' AND ok.c < stop.c)
+SELECT substr(l.s || g.s, 1, 60) AS sequence FROM l, g""")
+def consensus_sequence(spark, sf_dir):
+    """What the votes around one seed read."""
+    sides: dict[str, dict[int, dict[str, int]]] = {"right": {}, "left": {}}
+    voting = 0
+    for r in sniff.consensus_votes(sniff.by_mate(reads(spark, sf_dir, px.PAIRS)), {"R1": [_SEED]}).collect():
+        if r["col"] < 0:
+            voting = r["n"]
+        else:
+            sides[r["side"]].setdefault(r["col"], {})[r["base"]] = r["n"]
+    return spark.createDataFrame([(sniff.read_off(sides["right"], sides["left"], voting),)], "sequence string")
 
 
 @query(f"WITH {cte(px.PAIRS)}, {sql_mates()} SELECT mate, count(*) AS sampled, sum(least(60, length(s), greatest(length(s) - 7, 0)))::BIGINT AS tail_positions, sum(greatest(length(s) - 7, 0) - least(60, length(s), greatest(length(s) - 7, 0)))::BIGINT AS body_positions, count(*) FILTER (length(s) >= 60 AND 60 - length(replace(right(s, 60), 'A', '')) >= 54) AS poly_a, count(*) FILTER (length(s) >= 60 AND 60 - length(replace(right(s, 60), 'G', '')) >= 54) AS poly_g FROM m GROUP BY mate")
@@ -645,11 +718,11 @@ def sniff_scan(spark, sf_dir):
     return sniff.scan_totals(sniff.by_mate(reads(spark, sf_dir, px.PAIRS)), 8)
 
 
-@query(f"SELECT * FROM (VALUES ('R1', 'confident', '{px.TRUSEQ_R1}', 'TruSeq', 'high'), ('R2', 'confident', '{px.TRUSEQ_R2}', 'TruSeq', 'high')) t(mate, decision, sequence, known_name, confidence)")
+@query(f"SELECT * FROM (VALUES ('R1', 'confident', '{px.TRUSEQ_R1}', 'illumina-truseq', 'high'), ('R2', 'confident', '{px.TRUSEQ_R2}', 'illumina-truseq', 'high')) t(mate, decision, sequence, known_name, confidence)")
 def sniff_decision(spark, sf_dir):
     """The planted adapters, found without being told."""
     rows = sample.with_offsets(reads(spark, sf_dir, px.PAIRS))
-    found = sniff.sniff(rows, catalogue.load(), sniff.SniffParams(sample=20_000))
+    found = sniff.sniff(rows, catalogue.load())
     out = [(m.mate, m.decision, m.recommended.sequence, m.recommended.known_name, m.recommended.confidence) for m in found.mates if m.recommended]
     return spark.createDataFrame(out, "mate string, decision string, sequence string, known_name string, confidence string")
 
@@ -674,9 +747,22 @@ def strand_tally(spark, sf_dir):
     return strand.tally(strand.formats(reads(spark, sf_dir, px.TRANSCRIPT_READS), reads(spark, sf_dir, px.TRANSCRIPTS), 21))
 
 
-@query(f"WITH {STRAND_SQL}, c AS (SELECT count(*) FILTER (format LIKE '%SF') AS f, count(*) FILTER (format LIKE '%SR') AS v FROM fm) SELECT f AS forward, v AS reverse, CASE WHEN f::DOUBLE / (f + v) >= 0.8 THEN 'forward' WHEN v::DOUBLE / (f + v) >= 0.8 THEN 'reverse' WHEN abs(f - v)::DOUBLE / (f + v) < 0.1 THEN 'unstranded' ELSE 'undetermined' END AS strandedness FROM c")
+_P = strand.StrandParams()
+
+
+@query(f"""WITH {STRAND_SQL}, nr AS (SELECT record_index, row_number() OVER (ORDER BY record_index) - 1 AS ord FROM r), j AS (SELECT ord // {_P.batch} AS b, format FROM nr LEFT JOIN fm USING (record_index)),
+bt AS (SELECT b, count(*) FILTER (format <> 'ambiguous') AS n FROM j GROUP BY b), cm AS (SELECT b, coalesce(sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM bt),
+used AS (SELECT format FROM j WHERE b <= (SELECT max(b) FROM cm WHERE before < {_P.target_informative})),
+c AS (SELECT count(*) AS examined, count(*) FILTER (format = 'ambiguous') AS ambiguous, count(*) FILTER (format LIKE '%SF') AS f, count(*) FILTER (format LIKE '%SR') AS v, count(*) FILTER (format LIKE 'I%') AS i, count(*) FILTER (format LIKE 'O%') AS o, count(*) FILTER (format LIKE 'M%') AS m FROM used),
+e AS (SELECT *, f + v > 0 AND f + v >= {_P.min_informative} AND (f + v)::DOUBLE / examined >= {_P.min_informative_fraction}::DOUBLE AS enough FROM c),
+s AS (SELECT *, CASE WHEN NOT enough THEN 'undetermined' WHEN f::DOUBLE / (f + v) >= 0.8::DOUBLE THEN 'forward' WHEN v::DOUBLE / (f + v) >= 0.8::DOUBLE THEN 'reverse' WHEN abs(f - v)::DOUBLE / (f + v) < 0.1::DOUBLE THEN 'unstranded' ELSE 'undetermined' END AS strandedness,
+  CASE WHEN NOT enough OR i + o + m = 0 THEN 'undetermined' WHEN i >= o AND i >= m THEN 'inward' WHEN o >= m THEN 'outward' ELSE 'matching' END AS orientation FROM e)
+SELECT examined, ambiguous, f AS forward, v AS reverse, strandedness, orientation, CASE WHEN enough THEN (CASE orientation WHEN 'inward' THEN 'I' WHEN 'outward' THEN 'O' WHEN 'matching' THEN 'M' ELSE '' END) || (CASE strandedness WHEN 'forward' THEN 'SF' WHEN 'reverse' THEN 'SR' ELSE 'U' END) END AS library_type,
+  cast(CASE strandedness WHEN 'unstranded' THEN 0 WHEN 'forward' THEN 1 WHEN 'reverse' THEN 2 END AS INTEGER) AS featurecounts, CASE strandedness WHEN 'unstranded' THEN 'no' WHEN 'forward' THEN 'yes' WHEN 'reverse' THEN 'reverse' END AS htseq FROM s""")
 def strand_classify(spark, sf_dir):
+    """Batches in order up to the target, the evidence gate, strandedness, library type and what other tools call it."""
     rows = reads(spark, sf_dir, px.TRANSCRIPT_READS)
-    found = strand.sniff(rows, reads(spark, sf_dir, px.TRANSCRIPTS), strand.StrandParams(min_informative=100))
+    found = strand.sniff(rows, reads(spark, sf_dir, px.TRANSCRIPTS))
     pick = lambda names: sum(found.counts.get(f, 0) for f in names)
-    return spark.createDataFrame([(pick(strand.FORWARD), pick(strand.REVERSE), found.strandedness)], "forward long, reverse long, strandedness string")
+    out = (found.examined, found.ambiguous, pick(strand.FORWARD), pick(strand.REVERSE), found.strandedness, found.orientation, found.library_type, found.featurecounts, found.htseq)
+    return spark.createDataFrame([out], "examined long, ambiguous long, forward long, reverse long, strandedness string, orientation string, library_type string, featurecounts int, htseq string")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -63,7 +64,11 @@ def _replace(spark: SparkSession, temp: str, path: str) -> None:
         aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}.old"
         if not fs.rename(where, _fs(spark, aside)[1]):
             raise OSError(f"cannot move {path} aside")
-    if not fs.rename(_fs(spark, temp)[1], where):
+    try:
+        done = fs.exists(_fs(spark, temp)[1]) and fs.rename(_fs(spark, temp)[1], where)
+    except Py4JJavaError:
+        done = False
+    if not done:
         if aside:
             fs.rename(_fs(spark, aside)[1], where)
         raise OSError(f"cannot rename {temp} to {path}")

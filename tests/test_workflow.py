@@ -2,6 +2,7 @@
 
 import itertools
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,14 @@ def test_stages_one_by_one_are_the_fused_run(pairs):
     assert rows(outputs.accepted(workflow.run(tagged, PARITY))) == rows(outputs.accepted(workflow.run(pairs, Plan(umi=UmiStage("read1", 8, 2), adapter=PARITY.adapter, trim=PARITY.trim, filter=PARITY.filter))))
 
 
+def test_the_lean_run_gives_the_accepted_records(spark, pairs):
+    umi_plan = replace(PARITY, umi=UmiStage("read1", 6, 1))
+    for df, plan in ((pairs, PARITY), (pairs, umi_plan), (pairs.select("record_index", "r1_seq", "r1_qual"), Plan(filter=FilterParams(min_length=70))), (pairs.select("record_index", "r1_seq", "r2_seq").limit(0), Plan(filter=FilterParams(min_length=70)))):
+        want = outputs.accepted(workflow.run(df, plan))
+        got = workflow.accepted(df, plan)
+        assert got.dtypes == want.dtypes and rows(got) == rows(want)
+
+
 def test_outputs_share_the_records(pairs):
     plan = Plan(adapter=PARITY.adapter, trim=PARITY.trim, filter=FilterParams(min_length=40), pair_policy="orphan")
     result = workflow.run(pairs, plan).cache()
@@ -277,3 +286,85 @@ def test_streams_give_what_batches_give(spark, pairs, tmp_path):
     assert rows(drain(streaming.accepted(stream.drop("at"), PARITY), "kept")) == rows(outputs.accepted(workflow.run(pairs, PARITY)))
     assert drain(streaming.dedup(stream, "at", "1 day"), "once").count() == pairs.select("r1_seq", "r2_seq").distinct().count()
     assert drain(streaming.counts(stream, PARITY, "at", "1 day", "1 hour"), "counts", "complete").agg(F.sum("records")).first()[0] == pairs.count()
+
+
+def test_a_run_is_evaluated_once(spark, pairs, tmp_path, monkeypatch):
+    """Sidecars and the report read the written facts: no plan but the one that writes them holds the kernel."""
+    src = str(tmp_path / "in")
+    sinks.publish(pairs, src)
+    plans = []
+    real = sinks.publish
+    monkeypatch.setattr(sinks, "publish", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().toString()), real(df, *a, **k))[1])
+    seen = []
+    report = reporting.run_report
+    monkeypatch.setattr(reporting, "run_report", lambda result, *a: (seen.append(result._jdf.queryExecution().toString()), report(result, *a))[1])
+    out = [str(tmp_path / x) for x in ("a", "f", "why", "r.json")]
+    assert cli.main(["workflow", src, "-o", out[0], "--adapter-r1", px.TRUSEQ_R1, "--filter-min-length", "70", "--failed", out[1], "--failed-reasons", out[2], "--report", out[3], "-q"], spark) == 0
+    assert len(plans) == 3 and len(seen) == 1 and not any("MapInArrow" in p for p in plans + seen)
+    found = json.loads((tmp_path / "r.json").read_text())
+    assert found["performance"]["records_per_second"] > 0 and found["counts"]["records_in"] == pairs.count()
+    assert sorted(p.name for p in tmp_path.iterdir() if p.suffix != ".crc") == ["a", "f", "in", "r.json", "why"]  # the facts are gone
+    assert "Adapter" in reporting.summary(found) and "Performance" in reporting.summary(found)
+
+
+def test_a_failed_rename_brings_back_what_was_there(spark, pairs, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    sinks.publish(pairs, path)
+    with pytest.raises(OSError):
+        sinks._replace(spark, str(tmp_path / "missing"), path)
+    assert spark.read.parquet(path).count() == pairs.count()
+    with pytest.raises(ValueError, match="one path"):
+        sinks.reserve(spark, [], [path, path], True)
+
+
+def test_spans_beyond_the_end_are_errors(spark, pairs, tmp_path):
+    src = str(tmp_path / "in")
+    sinks.publish(sample.with_offsets(pairs), src)
+    n = pairs.count()
+    assert source.read(spark, src, n - 1).count() == 1 and source.read(spark, src, n).count() == 0
+    with pytest.raises(ValueError, match="outside"):
+        source.read(spark, src, n + 1)
+    assert cli.main(["filter", src, "-o", str(tmp_path / "o"), "--filter-min-length", "1", "--span", f"{n + 5}..", "-q"], spark) == 2
+
+
+def test_strand_inputs_batches_and_decoys(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    rows, table = reads(spark, sf, px.TRANSCRIPT_READS), reads(spark, sf, px.TRANSCRIPTS)
+    fasta = tmp_path / "t.fa"
+    fasta.write_text("".join(f">{r.transcript} some words\n{r.sequence[:70].lower()}\n{r.sequence[70:]}\n" for r in table.collect()))
+    from_fasta = strand.read_transcripts(spark, str(fasta))
+    assert {(r.transcript, r.sequence) for r in from_fasta.collect()} == {(str(r.transcript), r.sequence) for r in table.collect()}
+    p = strand.StrandParams(min_informative=100, batch=64, target_informative=200)
+    found = strand.sniff(rows, from_fasta, p)
+    every = {r.record_index: r.format for r in strand.formats(rows, table, p.k).collect()}
+    ids = sorted(r.record_index for r in rows.collect())
+    taken = next(e for e in range(64, len(ids) + 64, 64) if sum(every.get(i) not in (None, "ambiguous") for i in ids[:e]) >= 200)
+    assert found.examined == min(taken, len(ids)) < len(ids) and sum(found.counts.values()) == sum(i in every for i in ids[: found.examined])
+    index = str(tmp_path / "index")
+    strand.build_index(from_fasta, index, p.k)
+    assert strand.sniff_by(rows, strand.load_index(spark, index, p.k), p) == found
+    with pytest.raises(ValueError, match="anew"):
+        strand.load_index(spark, index, 15)
+    names = tmp_path / "decoys.txt"
+    names.write_text("\n".join(str(r.transcript) for r in table.collect()))
+    decoy = strand.sniff(rows, strand.read_transcripts(spark, str(fasta), str(names)), p)
+    assert decoy.informative == 0 and decoy.decoy_only > 0 and any("decoys" in w for w in decoy.warnings) and decoy.failure_reason
+    src = str(tmp_path / "in")
+    sinks.publish(rows, src)
+    for form in ("json", "text"):
+        assert cli.main(["sniff-strand", src, "--transcriptome", str(fasta), "--index", str(tmp_path / "made"), "--strand-min-informative", "100", "--format", form, "-o", str(tmp_path / form)], spark) == 0
+    assert json.loads((tmp_path / "json").read_text())["index"]["transcripts"] == table.count() and "Strandedness: reverse" in (tmp_path / "text").read_text()
+
+
+def test_trims_that_took_nothing_are_reported(spark, pairs):
+    on = (TrimParams(quality_tail=20, poly_g=True), TrimParams(max_length=1000))
+    got = {(r.mate, r.op): (r.reads, r.bases) for r in report.trims(workflow.run(pairs, Plan(trim=on)), on).collect()}
+    assert set(got) == {("R1", "quality"), ("R1", "poly_g"), ("R2", "max_length")} and got["R2", "max_length"] == (0, 0)
+
+
+def test_adapter_reports_for_readers(spark, pairs):
+    found = reporting.adapters_report(sniff.sniff(sample.with_offsets(pairs), catalogue.load(), sniff.SniffParams(sample=1500)), "x", sniff.SniffParams())
+    text = reporting.adapters_text(found)
+    assert "R1 adapter result: confident" in text and "Known as: illumina-truseq" in text and "Confidence: high" in text
+    table = [x.split("\t") for x in reporting.adapters_tsv(found).splitlines()]
+    assert {len(x) for x in table} == {len(reporting.TSV_COLUMNS)} and "illumina-truseq" in table[1]
