@@ -245,7 +245,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = pair(large.union(least.filter("m < a").select("a", F.col("m").alias("b"))))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = shared.materialize(pair(small.union(least.select("a", F.col("m").alias("b")))), "edges")
+        before, now = now, shared.materialize(pair(small.union(least.select("a", F.col("m").alias("b")))), "edges")
+        shared.drop(before)
     roots = now.select(F.col("b").alias("tid"), F.col("b").alias("comp")).distinct()
     return now.select(F.col("a").alias("tid"), F.col("b").alias("comp")).union(roots) if seen["n"] else spark.createDataFrame([], "tid binary, comp binary")
 
@@ -272,7 +273,9 @@ def text_classes(docs: DataFrame) -> DataFrame:
 
     state = met.join(comp, "tid", "left").select("key", "tid", F.coalesce("comp", "tid").alias("comp"))
     more = shared.materialize(_rest(state, signed, texts), "links")
-    return components(links.select("a", "b").union(more.select("a", "b"))) if more.take(1) else comp
+    out = components(links.select("a", "b").union(more.select("a", "b"))) if more.take(1) else comp
+    shared.drop(signed, met, first, texts, links, more)
+    return out
 
 
 def _keyed(rows: DataFrame, comp: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +30,27 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/readloom-{spark.sparkContext.applicationId}"
 
 
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{own_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{_SCOPE.get() or own_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What operators write between their steps in here goes at the end; the function given writes a table that stays."""
+    own = f"{own_folder(spark)}/scope-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        return _written(df, f"{own_folder(spark)}/{what}-{uuid.uuid4().hex}")
+
+    token = _SCOPE.set(own)
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        remove(spark, own)
 
 
 def clean(spark: SparkSession) -> None:
@@ -40,10 +61,21 @@ def clean(spark: SparkSession) -> None:
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write `df` as a table in the shared folder and read it again: lineage ends there, so a lost
     executor costs a re-read and not a recomputation."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
+    return _written(df, new_folder(df.sparkSession, what))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def drop(*written: DataFrame) -> None:
+    """Remove tables of materialize() that no frame reads any more."""
+    for df in written:
+        if path := getattr(df, "_written", None):
+            remove(df.sparkSession, path)
 
 
 def _at(spark: SparkSession, path: str):
@@ -78,7 +110,10 @@ def numbered(docs: DataFrame, what: str) -> tuple[DataFrame, str]:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Before Python runs on executors: the code is sent, and Arrow batches hold so many rows at most, as texts may be long."""
     ship.ensure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= rows:  # only ever less, as frames made before run with it too
+        spark.conf.set(name, str(rows))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
