@@ -59,8 +59,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's result is written before the next reads it."""
+    """All stages over `documents`; each one's result is written before the next reads it, and what a stage wrote on its way
+    goes with its predecessor's result."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = shared.materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with shared.scope(spark) as keep:
+            docs = keep(stage(spark, before, sf_dir), name)
+        shared.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
