@@ -126,6 +126,52 @@ def test_held_out_documents(spark, toxic):
     assert near and all(0 < e.similarity <= 1.0001 and e.toxic in (0, 1) for e in near)
 
 
+def test_scores_against_dense_vectors(spark, toxic):
+    """Neighbours, votes and scores again from whole matrices, with and without the smaller vocabulary, and without the document itself."""
+    rows, labels = toxic
+    docs = spark.createDataFrame([*rows, (900, rows[7][1]), (901, "none of these"), (902, None)], "doc_id bigint, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id bigint, toxic int"))
+    counts = {}
+    for r in docs.collect():
+        data, offsets = words.text_buffers(pa.array([r.text], pa.string()))
+        counts[r.doc_id] = toxicity.term_counts(data, offsets)[1:]
+    text = dict(docs.collect())
+    n_docs = len(text)
+
+    def vector(d, vocabulary, df, whole):
+        h, c = counts[d]
+        at = {t: i for i, t in enumerate(vocabulary.tolist())}
+        out, norm = np.zeros(len(vocabulary)), 0.0
+        for t, k in zip(h.tolist(), c.tolist(), strict=True):
+            if t in at or whole:
+                idf = math.log((1 + n_docs) / (1 + (df[t] if t in at else 1))) + 1e-3
+                norm += ((1 + math.log(k)) * idf) ** 2
+                if t in at:
+                    out[at[t]] = (1 + math.log(k)) * idf
+        return out / math.sqrt(norm) if norm else out
+
+    df = Counter(t for h, _ in counts.values() for t in h.tolist())
+    sides = {}
+    for whole, vocabulary in ((False, index.vocabulary), (True, index.whole.vocabulary)):
+        sides[whole] = vocabulary, np.stack([vector(int(i), vocabulary, df, whole) for i in index.ids])
+    got = {r.doc_id: r for r in toxicity.score(docs, index, own="doc_id").collect()}
+    outside = 0
+    for d, r in got.items():
+        whole = not np.isin(counts[d][0], index.vocabulary).any()
+        vocabulary, examples = sides[whole]
+        s = examples @ vector(d, vocabulary, df, whole)
+        s[index.ids == str(d)] = 0
+        near = sorted((-x, i) for i, x in enumerate(s) if x > 0)[: toxicity.NEIGHBOURS]
+        w = np.array([-x for x, _ in near]) ** toxicity.POWER
+        vote = float((w * index.label[[i for _, i in near]]).sum() / (w.sum() + toxicity.ABSENT)) if near else -1.0
+        a, b = index.whole.curve if whole and index.whole.curve else index.curve
+        want = index.blank if vote < 0 or whole and index.whole.curve is None else 1 / (1 + math.exp(-(a * vote + b)))
+        outside += whole
+        assert r.score == pytest.approx(want, abs=2e-4), d
+        assert str(d) not in {e.example for e in r.evidence}
+    assert outside > 10
+
+
 def test_block_bounds_lose_no_neighbour(rng):
     n_terms, n = 300, 500
     vocabulary = np.arange(1, n_terms + 1).astype(np.uint64)
