@@ -385,7 +385,8 @@ def linked(m: np.ndarray, length: np.ndarray, definitions: list[Linked], params:
     """The best definition of each read: both flanks, fewer errors, lower error rate, longer overlap, longer insert, first declared.
 
     The 3' flank is sought behind the 5' one, or from the read's start where there is none; one that hangs over the
-    read's end too far fails. Without definitions every read is unmatched.
+    read's end too far fails. Without definitions every read is unmatched. As the 3' flank is sought behind the 5' one,
+    out_of_order never arises; it stays a label that reports list.
     """
     n = len(length)
     out = LinkedHits(np.full(n, NEITHER), np.zeros(n, np.int64), length.copy(), np.full(n, -1), np.zeros(n, bool), np.zeros(n, bool))
