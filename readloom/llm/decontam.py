@@ -46,7 +46,13 @@ class Queries:
     vocabulary: np.ndarray  # sorted hashes; a term's number is its place
     terms: np.ndarray  # [windows, width]
     size: np.ndarray  # words of each window
-    owners: list[list[str]]  # items that hold the window
+    begins: np.ndarray  # where the owners of each window begin
+    owner: np.ndarray  # places in `items`
+    items: list[str]  # ids
+
+    def owners(self, window: int) -> list[str]:
+        """Ids of the items that hold a window."""
+        return [self.items[k] for k in self.owner[self.begins[window] : self.begins[window + 1]].tolist()]
 
 
 Items = list[tuple[object, str | None]]
@@ -76,25 +82,37 @@ def count_windows(lists: Iterable[Items], width: int = WIDTH) -> tuple[np.ndarra
 
 
 def compile_queries(lists: Iterable[Items], vocabulary: np.ndarray, width: int = WIDTH, block: int = 0, blocks: int = 1) -> Queries:
-    """The distinct windows of one block of `blocks`."""
-    owners: dict[tuple[int, ...], set[str]] = {}
+    """The distinct windows of one block of `blocks`, which the words of a window decide."""
+    terms, owner, names = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int32)], []
     for items in lists:
         w = _split(items)
-        term = np.searchsorted(vocabulary, w.hash)
-        bounds = np.concatenate([[0], np.cumsum(w.counts())])
-        for i, (item_id, _) in enumerate(items):
-            own = term[bounds[i] : bounds[i + 1]]
-            if not len(own) or item_id is None:
-                continue
-            for j in range(max(1, len(own) - width + 1)):
-                key = tuple(own[j : j + width].tolist())
-                if hash(key) % blocks == block:
-                    owners.setdefault(key, set()).add(str(item_id))
-    keys = sorted(owners)
-    terms = np.full((len(keys), width), -1, np.int32)
-    for k, key in enumerate(keys):
-        terms[k, : len(key)] = key
-    return Queries(vocabulary, terms, np.array([len(k) for k in keys], np.int32), [sorted(owners[k]) for k in keys])
+        term = np.concatenate([np.searchsorted(vocabulary, w.hash), np.full(width, -1)]).astype(np.int32)
+        counts = w.counts()
+        n = np.maximum(counts - width + 1, counts > 0)
+        n[[i for i, (item_id, _) in enumerate(items) if item_id is None]] = 0
+        item = np.repeat(np.arange(len(items)), n)
+        first = np.cumsum(counts) - counts
+        start = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        at = start[:, None] + np.arange(width)
+        rows = np.where(at < (first + counts)[item][:, None], term[np.minimum(at, len(term) - 1)], -1).astype(np.int32)
+        if blocks > 1:
+            h = np.zeros(len(rows), words.U64)
+            for j in range(width):
+                h = words.mix(h + rows[:, j].astype(np.int64).astype(words.U64) + words.U64(1))
+            mine = h % words.U64(blocks) == words.U64(block)
+            rows, item = rows[mine], item[mine]
+        terms.append(rows)
+        owner.append((len(names) + item).astype(np.int32))
+        names += ["" if item_id is None else str(item_id) for item_id, _ in items]
+    every, own = np.concatenate(terms), np.concatenate(owner)
+    order = np.lexsort((own, *every.T[::-1]))
+    every, own = every[order], own[order]
+    new = np.ones(len(every), bool)
+    new[1:] = (every[1:] != every[:-1]).any(1)
+    once = new.copy()  # an item that holds a window twice counts once
+    once[1:] |= own[1:] != own[:-1]
+    distinct, group = every[new], np.cumsum(new) - 1
+    return Queries(vocabulary, distinct, (distinct >= 0).sum(1).astype(np.int32), np.searchsorted(group[once], np.arange(len(distinct) + 1)), own[once], names)
 
 
 def _index(vocabulary: np.ndarray, id_name: str):
@@ -228,7 +246,7 @@ def _match(q: Queries, rarity: np.ndarray, near: int, id_name: str, keep_posting
                 out["n_hit"].extend((covered[base[1:]] - covered[base[:-1]]).tolist())
                 out["n_near"].extend(n_near.tolist())
                 for i, st, win in zip(d[exact].tolist(), s[exact].tolist(), w[exact].tolist(), strict=True):
-                    items[i].update(q.owners[win])
+                    items[i].update(q.owners(win))
                     spans[i].add((st, st + int(q.size[win])))
                 out["items"].extend(sorted(x) for x in items)
                 out["spans"].extend([{"start": x, "end": y} for x, y in sorted(sp)] for sp in spans)
