@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Examples are a bounded sample of labelled documents, at most `PER_CLASS` of each class, the
-first by a hash of their id. Terms are lower-cased words and the first four and five bytes
+first by a hash of their id; so what is sent to executors is bounded by the texts of that
+sample, whatever the size of the corpus. Terms are lower-cased words and the first four and five bytes
 of longer ones, which stand for stems. The feature space is those terms whose presence
 depends on the label among the examples (a likelihood ratio of at least `LEAST_G`); inverse
 document frequencies are counted over all documents. The index

@@ -3,6 +3,10 @@
 A batch of texts is one byte buffer plus offsets; words, hashes and windows are
 NumPy arrays over it, so no Python object is made per word. All separators used
 here are ASCII, so splitting UTF-8 bytes never cuts a character.
+
+Defined cases: a null text is empty; an empty text has no words and no windows; a text with fewer words
+than a window is one window; very long texts are handled whole, each in a slice of its own, and words of
+any length are hashed whole; no rows give empty arrays.
 """
 
 from __future__ import annotations
