@@ -48,6 +48,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--report")
         p.add_argument("--report-format", choices=("json", "tsv"), default="json")
         p.add_argument("-q", "--quiet", action="store_true")
+        p.add_argument("--partitions", type=int, help="partitions of a shuffle")
+        p.add_argument("--batch-rows", type=int, help="records that a kernel is given at once")
         p.add_argument("--compression", default="zstd")
         p.add_argument("--compression-level", type=int)
         p.add_argument("--block-size", type=int)
@@ -238,6 +240,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("readloom").getOrCreate()
     try:
+        for name, value in (("spark.sql.shuffle.partitions", args.partitions), ("spark.sql.execution.arrow.maxRecordsPerBatch", args.batch_rows)):
+            if value is not None:
+                if value < 1:
+                    raise ValueError("partitions and batch rows must be positive")
+                spark.conf.set(name, str(value))
         if args.command in COMMANDS:
             _run_stages(spark, args)
         elif args.command == "segment":

@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions import scalars as fs
+from readloom.operators.sample import with_offsets
 from readloom.schema import Presence
 
 #: Library formats by pair orientation and strand; single-end reads have only the strand.
@@ -198,8 +199,8 @@ def sniff_by(reads: DataFrame, index: DataFrame, params: StrandParams = StrandPa
     params.validate()
     has = Presence.of(reads)
     columns = [f"r{m}_seq" for m in has.mates]
-    w = Window.orderBy("record_index")
-    rows = reads.select("record_index", *columns).withColumn("ordinal", F.row_number().over(w).cast("long") - 1).persist()  # a sample: bounded
+    # places by ranges of the index, so that no task sorts all records
+    rows = with_offsets(reads.select("record_index", *columns)).withColumn("ordinal", F.col("record_index")).persist()
     try:
         total, seen, size, informative = rows.count(), 0, params.batch, 0
         counts: dict[str, int] = {}
