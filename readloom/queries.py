@@ -758,11 +758,11 @@ e AS (SELECT *, f + v > 0 AND f + v >= {_P.min_informative} AND (f + v)::DOUBLE
 s AS (SELECT *, CASE WHEN NOT enough THEN 'undetermined' WHEN f::DOUBLE / (f + v) >= 0.8::DOUBLE THEN 'forward' WHEN v::DOUBLE / (f + v) >= 0.8::DOUBLE THEN 'reverse' WHEN abs(f - v)::DOUBLE / (f + v) < 0.1::DOUBLE THEN 'unstranded' ELSE 'undetermined' END AS strandedness,
   CASE WHEN NOT enough OR i + o + m = 0 THEN 'undetermined' WHEN i >= o AND i >= m THEN 'inward' WHEN o >= m THEN 'outward' ELSE 'matching' END AS orientation FROM e)
 SELECT examined, ambiguous, f AS forward, v AS reverse, strandedness, orientation, CASE WHEN enough THEN (CASE orientation WHEN 'inward' THEN 'I' WHEN 'outward' THEN 'O' WHEN 'matching' THEN 'M' ELSE '' END) || (CASE strandedness WHEN 'forward' THEN 'SF' WHEN 'reverse' THEN 'SR' ELSE 'U' END) END AS library_type,
-  cast(CASE strandedness WHEN 'unstranded' THEN 0 WHEN 'forward' THEN 1 WHEN 'reverse' THEN 2 END AS INTEGER) AS featurecounts, CASE strandedness WHEN 'unstranded' THEN 'no' WHEN 'forward' THEN 'yes' WHEN 'reverse' THEN 'reverse' END AS htseq FROM s""")
+  CASE strandedness WHEN 'unstranded' THEN '0' WHEN 'forward' THEN '1' WHEN 'reverse' THEN '2' END AS featurecounts, CASE strandedness WHEN 'unstranded' THEN 'no' WHEN 'forward' THEN 'yes' WHEN 'reverse' THEN 'reverse' END AS htseq FROM s""")
 def strand_classify(spark, sf_dir):
     """Batches in order up to the target, the evidence gate, strandedness, library type and what other tools call it."""
     rows = reads(spark, sf_dir, px.TRANSCRIPT_READS)
     found = strand.sniff(rows, reads(spark, sf_dir, px.TRANSCRIPTS))
     pick = lambda names: sum(found.counts.get(f, 0) for f in names)
-    out = (found.examined, found.ambiguous, pick(strand.FORWARD), pick(strand.REVERSE), found.strandedness, found.orientation, found.library_type, found.featurecounts, found.htseq)
-    return spark.createDataFrame([out], "examined long, ambiguous long, forward long, reverse long, strandedness string, orientation string, library_type string, featurecounts int, htseq string")
+    out = (found.examined, found.ambiguous, pick(strand.FORWARD), pick(strand.REVERSE), found.strandedness, found.orientation, found.library_type, None if found.featurecounts is None else str(found.featurecounts), found.htseq)
+    return spark.createDataFrame([out], "examined long, ambiguous long, forward long, reverse long, strandedness string, orientation string, library_type string, featurecounts string, htseq string")
