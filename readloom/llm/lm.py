@@ -5,8 +5,8 @@ after each word and an end mark; contexts are the bytes before, up to `DEPTH`, n
 across documents.
 
 Learning: counts of all runs of DEPTH + 1 bytes are summed over the training documents and
-give those of every shorter context. A context is a candidate if it occurs as often as the
-cube root of all positions (in a small corpus, at `SMALL` of them), so the tree may grow
+give those of every shorter context. A context is a candidate if it occurs twice as often as
+the cube root of all positions (in a small corpus, at `SMALL` of them), so the tree may grow
 with the two-thirds power of the corpus, and is retained, with its suffixes, if its next bytes diverge from its parent's: count times
 Kullback-Leibler divergence of at least `GAIN` nats. Contexts of one byte are always states.
 Next-byte distributions are smoothed towards the parent's, the more so the more different
@@ -30,7 +30,7 @@ texts are read whole; other columns are not read. Words are counted by a 64-bit
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,10 +44,10 @@ from readloom.llm.words import U64, mix, runs
 
 FOLDS, ALPHA = 10, 0.1
 DEPTH, GAIN, PULL = 6, 5.0, 2.0
-#: Share of positions that makes a candidate in a corpus of less than SMALL ** -1.5 of them, about 90 million.
+#: Share of positions that makes a candidate in a corpus of less than (SMALL / 2) ** -1.5 of them, about 250 million.
 SMALL = 5e-6
 #: (context, byte) pairs that the driver holds and sends at once.
-MAX_MOVES = 8_000_000
+MAX_MOVES = 3_000_000
 HEAVY = 2.0**-21
 START, BLANK, END = 0x09, 0x20, 0x0A  # never inside a word
 END_WORD = words.word_hash("\n")
@@ -188,7 +188,7 @@ def lookup(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == x
 
 
-def grow(candidates: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.ndarray) -> Tree:
+def grow(candidates: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.ndarray) -> Tree:
     """The tree from the candidates of each depth as (context, byte, count): a divergence test of each against its
     parent, then the suffixes of what is retained."""
     tree = Tree([], root)
@@ -217,7 +217,7 @@ def grow(candidates: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.n
 
 @dataclass
 class Model:
-    candidates: DataFrame  # depth int, context long, byte int, n long
+    candidates: DataFrame  # depth int, context long, byte short, n long
     root: np.ndarray
     parts: list[tuple[int, int]]  # ranges of the last two bytes of contexts
     counts: DataFrame  # word long, n long
@@ -231,9 +231,13 @@ class Model:
         if len(self.parts) > 1:
             last = F.col("context").bitwiseAND(0xFFFF)
             rows = rows.filter((F.col("depth") == 1) | (last >= part[0]) & (last < part[1]))
-        got = rows.toArrow()
-        depth, context, byte, n = (got[c].to_numpy() for c in ("depth", "context", "byte", "n"))
-        return grow([(context[depth == d].view(U64), byte[depth == d].astype(np.int64), n[depth == d]) for d in range(1, DEPTH + 1)], self.root)
+
+        def depths() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:  # one at a time on the driver
+            for d in range(1, DEPTH + 1):
+                got = rows.filter(F.col("depth") == d).select("context", "byte", "n").toArrow()
+                yield got["context"].to_numpy().view(U64), got["byte"].to_numpy(), got["n"].to_numpy()
+
+        return grow(depths(), self.root)
 
 
 def fit(train: DataFrame) -> Model:
@@ -251,8 +255,8 @@ def fit(train: DataFrame) -> Model:
 
 
 def least_count(positions: float) -> int:
-    """Sightings that make a context a candidate: the cube root of the positions, in a small corpus a share of them."""
-    return max(2, math.floor(min(SMALL * positions, positions ** (1 / 3)) + 1e-6))
+    """Sightings that make a context a candidate: twice the cube root of the positions, in a small corpus a share of them."""
+    return max(2, math.floor(min(SMALL * positions, 2 * positions ** (1 / 3)) + 1e-6))
 
 
 def _candidates(gram: DataFrame) -> tuple[DataFrame, np.ndarray, list[tuple[int, int]]]:
@@ -271,7 +275,7 @@ def _candidates(gram: DataFrame) -> tuple[DataFrame, np.ndarray, list[tuple[int,
     found = None
     for depth, level in enumerate(levels[-2::-1], 1):
         often = level.groupBy("context").agg(F.sum("n").alias("t")).filter(F.col("t") >= least_count(float(total))).select("context")
-        own = level.join(often, "context").select(F.lit(depth).alias("depth"), "context", F.col("byte").cast("int").alias("byte"), "n")
+        own = level.join(often, "context").select(F.lit(depth).alias("depth"), "context", F.col("byte").cast("short").alias("byte"), "n")
         found = own if found is None else found.unionByName(own)
     found = shared.materialize(found, "candidates")
     return found, root, _parts(found)

@@ -298,7 +298,7 @@ def test_a_tree_in_parts_scores_alike(spark, rng, monkeypatch):
 
 
 def test_candidates_grow_with_the_corpus():
-    assert [lm.least_count(n) for n in (0, 1000, 10**6, 10**9, 10**12)] == [2, 2, 5, 1000, 10_000]
+    assert [lm.least_count(n) for n in (0, 1000, 10**6, 10**9, 10**12)] == [2, 2, 5, 2000, 20_000]
 
 
 def test_next_bytes_sum_to_one(rng):
